@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality
+from . import bpe, minhash, mixing, quality, repeats
 
 QUERIES = {
     "op2_quality_rules": quality.quality_rules,
     "op4_minhash_near_dedup": minhash.minhash_near_dedup,
     "op6_byte_bpe": bpe.byte_bpe,
     "op7_mixing_curriculum": mixing.mixing_curriculum,
+    "op9_suffix_repeats": repeats.suffix_repeats,
     "op3_quality_classifier": quality.quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
