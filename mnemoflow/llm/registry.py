@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality, repeats
+from . import bpe, minhash, mixing, private, quality, repeats
 
 QUERIES = {
     "op2_quality_rules": quality.quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.byte_bpe,
     "op7_mixing_curriculum": mixing.mixing_curriculum,
     "op9_suffix_repeats": repeats.suffix_repeats,
+    "op5_personal_data": private.personal_data,
     "op3_quality_classifier": quality.quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
