@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, private, quality, repeats
+from . import bpe, hmm, minhash, mixing, private, quality, repeats
 
 QUERIES = {
     "op2_quality_rules": quality.quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_mixing_curriculum": mixing.mixing_curriculum,
     "op9_suffix_repeats": repeats.suffix_repeats,
     "op5_personal_data": private.personal_data,
+    "op1_hmm_scores": hmm.hmm_scores,
     "op3_quality_classifier": quality.quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
