@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm, minhash, mixing, private, quality, repeats
+from . import bpe, codes, hmm, minhash, mixing, private, quality, repeats, rollups
 
 QUERIES = {
     "op2_quality_rules": quality.quality_rules,
@@ -12,6 +12,8 @@ QUERIES = {
     "op9_suffix_repeats": repeats.suffix_repeats,
     "op5_personal_data": private.personal_data,
     "op1_hmm_scores": hmm.hmm_scores,
+    "op8_token_counts": rollups.token_counts,
+    "op10_one_bit_neighbours": codes.one_bit_neighbours,
     "op3_quality_classifier": quality.quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_token_counts": rollups.ORACLE, "op10_one_bit_neighbours": codes.ORACLE}
