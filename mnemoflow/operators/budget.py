@@ -29,6 +29,13 @@ def joined(df: DataFrame, keys: list[str], seq: str, text: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["x"]), "\n").alias("memory"))
 
 
+def condensed(df: DataFrame, keys: list[str], seq: str, tokens: str, text: str, limit: int) -> DataFrame:
+    """keys, n, memory of every owner; an owner of whom nothing fits has an empty memory.  One shuffle serves window and sum."""
+    marked = df.withColumn("kept_", _from_newest(keys, seq, tokens) <= limit)
+    rows = F.array_sort(F.collect_list(F.when(F.col("kept_"), F.struct(F.col(seq).alias("t"), F.col(text).alias("x")))))
+    return marked.groupBy(*keys).agg(F.count(F.when(F.col("kept_"), 1)).alias("n"), F.array_join(F.transform(rows, lambda r: r["x"]), "\n").alias("memory"))
+
+
 def tiers(df: DataFrame, keys: list[str], seq: str, tokens: str, limit: int = SHORT_LIMIT, share: float = SHORT_SHARE) -> DataFrame:
     """df with tier: 'short' for what fits in share of the limit, 'long' for what is archived."""
     return df.withColumn("tier", F.when(_from_newest(keys, seq, tokens) <= limit * share, "short").otherwise("long"))

@@ -51,9 +51,9 @@ def learnt(sessions: DataFrame, keys: list[str], seq: str, text: str, factory: C
             if segment:
                 known, more_in, more_out = learn(known, segment, model, most)
                 i, o = i + more_in, o + more_out
-        out = pd.DataFrame({"seq": range(len(known)), "proposition": known, "input_tokens": i, "output_tokens": o})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+        n = len(known)
+        cols = {k: pd.Series([pdf[k].iloc[0]] * n, dtype=pdf[k].dtype) for k in keys}
+        cols |= {"seq": pd.Series(range(n), dtype="int64"), "proposition": pd.Series(known, dtype=object)}
+        return pd.DataFrame(cols | {"input_tokens": pd.Series([i] * n, dtype="int64"), "output_tokens": pd.Series([o] * n, dtype="int64")})
 
     return sessions.select(*keys, seq, text).groupBy(*keys).applyInPandas(fold, schema)

@@ -77,12 +77,12 @@ def memory_budget_suffix(spark, sf_dir):
     return budget.recent(_sized(spark, sf_dir), KEYS, "turn", "tok", BUDGET).select("conv_id", "turn", "tok", "tokens_from_here")
 
 
-MEMORY = f"WITH {SUFFIX} SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS memory FROM k GROUP BY conv_id"
+MEMORY = f"WITH {SUFFIX} SELECT conv_id, coalesce(any_value(memory), '') AS memory FROM (SELECT DISTINCT conv_id FROM t) LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS memory FROM k GROUP BY conv_id) USING (conv_id) GROUP BY conv_id"
 
 
 @query(MEMORY)
 def memory_condensed_text(spark, sf_dir):
-    return budget.joined(budget.recent(_sized(spark, sf_dir), KEYS, "turn", "tok", BUDGET), KEYS, "turn", "text")
+    return budget.condensed(_sized(spark, sf_dir), KEYS, "turn", "tok", "text", BUDGET).select("conv_id", "memory")
 
 
 @query(f"WITH {SIZED} SELECT conv_id, turn, tok, CASE WHEN sum(tok) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 35 THEN 'short' ELSE 'long' END AS tier FROM z")
@@ -358,7 +358,7 @@ def _streamed(spark: SparkSession, df: DataFrame, build, mode: str) -> DataFrame
 def stream_budget_state(spark, sf_dir):
     rows = _sized(spark, sf_dir).select("conv_id", F.col("turn").alias("seq"), "tok", "text")
     out = _streamed(spark, rows, lambda s: state.token_buffer(s, "conv_id", BUDGET), "update")
-    return state.latest(out, "conv_id", "batch").where("n > 0").select("conv_id", "memory")
+    return state.latest(out, "conv_id", "batch").select("conv_id", "memory")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
