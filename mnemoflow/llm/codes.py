@@ -28,7 +28,9 @@ from .common import Scratch, table
 NEAREST, EVERY = 20, 20
 EPSILON = 4.0
 SAMPLE, CENTROIDS = 4096, 16
-VECTORS_A_BLOCK, QUERIES_A_BLOCK = 16384, 512
+VECTORS_A_BLOCK, QUERIES_A_BLOCK = 8192, 512
+#: Copies of the index that are dealt out, so that one block of vectors is searched by several tasks.
+COPIES = 8
 
 
 def rotation(d: int) -> np.ndarray:
@@ -129,7 +131,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             ids, v = np.array([x["vec_id"] for x in row["rows"]], np.int64), np.array([x["e"] for x in row["rows"]], float)
-            yield pa.RecordBatch.from_pylist([{"q_ids": ids.tobytes(), "q": v.tobytes()}])
+            yield pa.RecordBatch.from_pylist([{"g": row["block"] % COPIES, "q_ids": ids.tobytes(), "q": v.tobytes()}], pa.schema([("g", pa.int32()), ("q_ids", pa.binary()), ("q", pa.binary())]))
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
@@ -152,9 +154,10 @@ def search(vectors: DataFrame, scratch: Scratch, k: int = NEAREST, every: int =
         dealt = lambda df, m: df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "e")).alias("rows"))
         index = dealt(own, blocks).mapInArrow(_indexed(c, p), "block int, ids binary, v binary, bits binary, own binary, length binary, s binary")
         index = scratch.cut(index, "index")
-        asked = dealt(own.where(F.col("vec_id") % every == 0), q_blocks).select("rows").mapInArrow(_packed, "q_ids binary, q binary")
+        asked = dealt(own.where(F.col("vec_id") % every == 0), q_blocks).mapInArrow(_packed, "g int, q_ids binary, q binary")
         asked = scratch.cut(asked, "queries").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = asked.repartition(blocks * q_blocks, "block", F.xxhash64("q_ids")).join(index, "block").drop("block")
+        copies = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(min(q_blocks, COPIES) - 1))))
+        pairs = asked.join(copies, ["block", "g"]).drop("block", "g")
         found = pairs.mapInArrow(_search(c, p, k), "query_id bigint, vec_id bigint, score double")
         answer = found if answer is None else answer.union(found)
     if answer is None:
