@@ -32,13 +32,16 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, path: str, lines: bool = False, first: int = 0, count: int | None = None) -> DataFrame:
-    """Evaluation instances of a JSON array (or a file of JSON lines), with their position, cut by position.
+    """Evaluation instances of a JSON array (or of files of JSON lines), with their position, cut by position.
 
-    One JSON array is one task's work, by its format; positions of JSON lines come from their order in the files.
+    A JSON array is one task's work, by its format.  Lines are read in parallel; a row's position is its place in its
+    partition plus the rows of the partitions before, which is one small row for each partition.
     """
-    df = spark.read.schema(INSTANCE).option("multiLine", not lines).json(path)
-    df = df.withColumn("order_", F.monotonically_increasing_id())
-    df = df.select("*", (F.row_number().over(Window.orderBy("order_")) - 1).cast("long").alias("pos")).drop("order_")
+    df = spark.read.schema(INSTANCE).option("multiLine", not lines).json(path).withColumn("id_", F.monotonically_increasing_id())
+    df = df.withColumns({"part_": F.shiftright("id_", 33), "place_": F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))}).drop("id_")
+    sizes = df.groupBy("part_").agg(F.count("*").alias("n_"))
+    ahead = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("ahead_"))
+    df = df.join(F.broadcast(ahead), "part_").withColumn("pos", F.col("ahead_") + F.col("place_")).drop("part_", "place_", "ahead_")
     return df.where((F.col("pos") >= first) & (F.lit(True) if count is None else F.col("pos") < first + count))
 
 
