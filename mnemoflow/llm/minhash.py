@@ -8,9 +8,10 @@ How hot groups are handled:
 
 * documents with equal shingle sets collapse into one representative (their smallest doc_id) first;
 * a band's bucket links its members only to its smallest one, so candidates grow with the members, not their square;
-* a second round looks at the buckets which still hold members of different components, and there compares the
-  signatures of members across components, in blocks; it proposes pairs whose signatures agree in 71 places or more (at
-  similarity 0.75 the chance of fewer is 1e-6).  So no link between different texts is lost for not being to a bucket's smallest member.
+* a second round looks at the buckets which still hold members of different components, in blocks, and there compares members across
+  components whose signatures agree in 71 places or more (at similarity 0.75 the chance of fewer is 1e-6), exactly and in
+  place.  It gives out a link only where that joins two components.  So none is lost for not being to a bucket's smallest member,
+  and no task makes all pairs.
 
 Defined cases: null text counts as empty; without words the set is empty, linked with nothing, kept; rows that repeat
 a doc_id are one vertex, and each gets its result; a null doc_id gets a null component and stays.  Only doc_id and text are read.
@@ -18,6 +19,8 @@ a doc_id are one vertex, and each gets its result; a null doc_id gets a null com
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +34,7 @@ from .components import components
 COORDINATES, ROWS_PER_BAND = 128, 4
 LEAST_EQUAL = 71
 SHINGLE, PERCENT = 5, 75
-BLOCK = 1500
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -103,7 +106,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(len(sig), -1, ROWS_PER_BAND).astype(np.uint64)
+    parts = sig.reshape(len(sig), COORDINATES // ROWS_PER_BAND, ROWS_PER_BAND).astype(np.uint64)
     key = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]) + np.uint64(1)
     for j in range(ROWS_PER_BAND):
         key = _mix(key * _P + parts[:, :, j])
@@ -156,34 +159,69 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, estimate: bool) -> DataFrame:
-    """Those of pairs(a, b) that are similar; estimate: whether their signatures are still to be compared."""
-    if estimate:
-        pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        pairs = pairs.where(_equal_places("sig_a", "sig_b") >= LEAST_EQUAL).select("a", "b")
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that are similar: first by their signatures, then exactly."""
+    pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    pairs = pairs.where(_equal_places("sig_a", "sig_b") >= LEAST_EQUAL).select("a", "b")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return pairs.where(_similar("text_a", "text_b")).select("a", "b")
 
 
-def _across(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a bucket whose components differ and whose signatures agree often enough."""
-    i, j = key[1].as_py(), key[2].as_py()
-    ids, comp, block, low = (group.column(c).to_numpy() for c in ("id", "comp", "block", "lo"))
+def _pairs_of(band: int, i: int, j: int, group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, its partners) by row number: the pairs of one block pair of a bucket that are still to be compared.
+
+    Left out: equal components, the bucket's smallest member (compared in round one), sizes that can't reach the
+    similarity, signatures that agree too seldom, and pairs whose first common band is another one.
+    """
+    ids, comp, block, low, n = (group.column(c).to_numpy() for c in ("id", "comp", "block", "lo", "n"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a_out, b_out = [], []
     for x in left:
-        if ids[x] == low[x]:  # round one has compared the bucket's smallest with all
+        if ids[x] == low[x]:
             continue
-        y = right[(comp[right] != comp[x]) & (ids[right] != low[x])]
+        y = right[(comp[right] != comp[x]) & (ids[right] != low[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
         y = y[ids[y] > ids[x]] if i == j else y
-        y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_EQUAL]
-        a_out.append(np.minimum(ids[y], ids[x]))
-        b_out.append(np.maximum(ids[y], ids[x]))
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(np.concatenate([empty, *a_out])), "b": pa.array(np.concatenate([empty, *b_out]))})
+        equal = sig[y] == sig[x]
+        first = equal.reshape(len(y), COORDINATES // ROWS_PER_BAND, ROWS_PER_BAND).all(axis=2).argmax(axis=1)
+        yield x, y[(equal.sum(axis=1) >= LEAST_EQUAL) & (first == band)]
+
+
+def _open_rows(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """The rows of a block pair that have a partner to be compared with."""
+    _, k, i, j = (x.as_py() for x in key)
+    wanted = np.zeros(group.num_rows, bool)
+    for x, y in _pairs_of(k, i, j, group):
+        wanted[y] = True
+        wanted[x] |= len(y) > 0
+    return group.filter(pa.array(wanted))
+
+
+def _links(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Links that join components of a block pair, by exact comparison: fewer than its components, never all pairs."""
+    _, k, i, j = (x.as_py() for x in key)
+    ids, comp = group.column("id").to_numpy(), group.column("comp").to_numpy()
+    sets = shingle_sets(as_bytes(group.column("text").combine_chunks()))
+    up = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    a_out, b_out = [], []
+    for x, partners in _pairs_of(k, i, j, group):
+        for y in partners:
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p == q:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
+                up[q] = p
+                a_out.append(min(ids[x], ids[y]))
+                b_out.append(max(ids[x], ids[y]))
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,7 +229,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     prepared = scratch.cut(docs.select("doc_id", _prepare()(F.col("text")).alias("p")).select("doc_id", "p.*"), "prepared")
     sets = scratch.cut(prepared.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "sets")
     members = scratch.cut(prepared.select("doc_id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "members")
-    reps = prepared.join(sets, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("id"), "bands", "sig").dropDuplicates(["id"])
+    reps = prepared.join(sets, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("id"), "n", "bands", "sig").dropDuplicates(["id"])
     reps = scratch.cut(reps, "reps")
     scratch.drop(prepared, sets)
     texts = docs.select("doc_id", "text")
@@ -201,21 +239,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = scratch.cut(buckets.select("band", "lo", "n"), "buckets")
     pairs = bands.join(buckets, "band").where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     pairs = scratch.cut(pairs, "pairs")
-    links = scratch.cut(_verified(pairs, reps, texts, True).distinct(), "links")
+    links = scratch.cut(_verified(pairs, reps, texts).distinct(), "links")
     scratch.drop(pairs)
     scratch.free_shuffles()
     comps = scratch.cut(components(links, scratch), "components")
 
-    own = reps.join(comps, "id", "left").select("id", "bands", F.coalesce("component", "id").alias("comp"))
-    placed = own.select("id", "comp", F.explode("bands").alias("band"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n"), F.min("id").alias("lo"))
-    mixed = scratch.cut(mixed.where("n > 2 and c1 < c2").select("band", "lo", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    own = reps.join(comps, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("comp"))
+    placed = own.select("id", "n", "comp", F.posexplode("bands").alias("k", "band"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n"), F.sum("n").alias("size"), F.min("id").alias("lo"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    mixed = scratch.cut(mixed.where("n > 2 and c1 < c2").select("band", "lo", blocks.alias("blocks")), "mixed")
     inside = placed.join(mixed, "band").join(reps.select("id", "sig"), "id")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "lo", "block", "sig")
-    more = scratch.cut(inside.groupBy("band", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct(), "more-pairs")
-    more_links = scratch.cut(_verified(more, reps, texts, False).distinct(), "more-links")
+    inside = inside.select("band", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "lo", "block", "n", "sig")
+    keys = ["band", "k", "i", "j"]
+    still = scratch.cut(inside.groupBy(*keys).applyInArrow(_open_rows, inside.schema), "still-open")
+    still = still.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select(*keys, "id", "comp", "lo", "block", "n", "sig", "text")
+    more_links = scratch.cut(still.groupBy(*keys).applyInArrow(_links, "a bigint, b bigint").distinct(), "more-links")
     if more_links.limit(1).count():
         comps = scratch.cut(components(links.union(more_links), scratch), "components")
 
@@ -233,3 +274,26 @@ def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op4"))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= 75 * (na.n + nb.n - n_both)
+), e AS (
+    SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+    SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a
+), m AS (
+    SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
