@@ -41,5 +41,5 @@ TOOLS: dict[str, Callable[..., Column]] = {f.__name__: f for f in (multiply, div
 
 
 def register(spark: SparkSession, name: str, body: Callable, returns: str) -> None:
-    """A user's own Python tool under a SQL name; Arrow-batched."""
-    spark.udf.register(name, F.pandas_udf(body, returns) if getattr(body, "__vectorised__", False) else F.udf(body, returns, useArrow=True))
+    """A user's own Python tool under a SQL name; rows go to it in Arrow batches."""
+    spark.udf.register(name, F.udf(body, returns, useArrow=True))

@@ -24,6 +24,16 @@ def filled(template: str, **fields: Column) -> Column:
     return out
 
 
+def routed(template: str, **fields: Column) -> Column:
+    """A template with {{ name }} places as above, any other with {name} places."""
+    if "{{" in template and "}}" in template:
+        return filled(template, **fields)
+    out = F.lit(template)
+    for name, value in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
 def answer(question: Column, context: Column) -> Column:
     return F.concat(F.lit("User: "), question, F.lit("\nKnown context (may be empty):\n"), F.coalesce(context, F.lit("")), F.lit("\n\nAssistant:"))
 

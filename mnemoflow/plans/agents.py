@@ -95,6 +95,11 @@ def _order():
     return Window.partitionBy(*KEY).orderBy("session", "turn")
 
 
+def static_memory(turns: DataFrame, questions: DataFrame, text: str = "") -> DataFrame:
+    """The same text for every question."""
+    return _counted(questions.withColumns({"context": F.lit(text), "memory_input_tokens": F.lit(len(text) // 4), "memory_output_tokens": F.lit(0)}))
+
+
 STRATEGIES: dict[str, Strategy] = {"summary": summary_memory, "reductive": reductive_memory, "episodic": episodic_memory, "hierarchical": tree_memory}
 
 

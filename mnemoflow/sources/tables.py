@@ -31,6 +31,24 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def keep_vectors(rows: DataFrame, name: str) -> DataFrame:
+    """An in-memory collection for this session: cached, and a view of that name."""
+    held = rows.persist()
+    held.createOrReplaceTempView(name)
+    return held
+
+
+def store_messages(messages: DataFrame, path: str) -> None:
+    """Appends messages(session_id, seq, role, text), a folder for each session."""
+    messages.write.partitionBy("session_id").mode("append").parquet(path)
+
+
+def stored_messages(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
+    """The messages of one session, read from its folder alone, or of all."""
+    df = spark.read.schema("seq bigint, role string, text string, session_id string").parquet(path)
+    return df if session_id is None else df.where(F.col("session_id") == session_id)
+
+
 def instances(spark: SparkSession, path: str, lines: bool = False, first: int = 0, count: int | None = None) -> DataFrame:
     """Evaluation instances of a JSON array (or of files of JSON lines), with their position, cut by position.
 

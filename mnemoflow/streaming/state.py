@@ -16,7 +16,7 @@ class TokenBuffer(StatefulProcessor):
     """The newest entries within a token limit.
 
     State is the entries held and the highest sequence number ever dropped: an old entry that comes late, below that mark, would not
-    have survived, and stays out.
+    have survived, and stays out.  A row without tok clears the memory as of its sequence number.
     """
 
     def __init__(self, limit: int, key: str):
@@ -32,8 +32,11 @@ class TokenBuffer(StatefulProcessor):
         was = set(held)
         for pdf in rows:
             for seq, tok, text in zip(pdf["seq"], pdf["tok"], pdf["text"], strict=True):
-                if seq > mark:
+                if pd.isna(tok):
+                    mark = max(mark, int(seq))
+                elif seq > mark:
                     held[int(seq)] = (int(tok), text)
+        held = {seq: entry for seq, entry in held.items() if seq > mark}
         total = 0
         kept = {}
         for seq in sorted(held, reverse=True):
