@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Token limits of a memory block and of the summary agent's, and of the short-term queue.
 BLOCK_LIMIT, AGENT_LIMIT = 60_000, 50
 SHORT_LIMIT, SHORT_SHARE, FLUSH = 50, 0.7, 10
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from ..functions.models import Completer, Statements
 from .prompts import CONDENSE, EXTRACT
 
+#: The cap, and the answer that adds nothing.
 MOST = 50
 NOTHING_NEW = "NO NEW PROPOSITIONS"
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Episodes returned, and what is returned without a query or without episodes.
 TOP = 5
 NO_QUERY, NO_EPISODES = "ERROR: No Query Provided", "ERROR: No Memory Entries Stored"
 FEW_EPISODES = 10_000

@@ -17,6 +17,7 @@ from ..functions.models import Completer, Embedder, Extractive, Hashed, Statemen
 from ..operators import budget, episodes, prompts, propositions, retrieval, vectors
 from ..operators.turns import batches, cleaned, paired
 
+#: What a failed and an empty memory answer.
 APOLOGY = "I'm sorry, I'm having trouble processing your request. Please try again."
 NO_PROPOSITIONS = "ERROR: NO PROPOSITIONS STORED"
 KEY = ["question_id"]
