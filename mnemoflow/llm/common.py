@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +62,14 @@ class Scratch:
             self._delete(t._mnemoflow_path)
 
     def free_shuffles(self) -> None:
-        """Lets Spark's cleaner see that finished shuffles are unreachable, so their files go before the next phase."""
-        import gc
+        """Lets Spark's cleaner see that finished shuffles are unreachable, so their files go before the next phase.
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        The driver's heap is small and calm while executors work, so it may not collect its garbage for long by itself.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def clear(self) -> None:
         try:
@@ -109,16 +115,26 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]
 
 
-def runs_by_bytes(items: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def runs_by_size(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (from, to) of about limit bytes; one long text makes a run of its own."""
     lo = size = 0
-    for i, b in enumerate(items):
-        if size and size + len(b) > limit:
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield lo, i
             lo, size = i, 0
-        size += len(b)
-    if lo < len(items):
-        yield lo, len(items)
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def runs_by_bytes(items: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    return runs_by_size(list(map(len, items)), limit)
+
+
+def byte_runs(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, the texts' UTF-8) of runs of about limit bytes; only one run is in Python's memory at a time."""
+    for lo, hi in runs_by_size(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit):
+        yield lo, hi, as_bytes(texts.slice(lo, hi - lo))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,4 +16,4 @@ QUERIES = {
     "op10_one_bit_neighbours": codes.one_bit_neighbours,
     "op3_quality_classifier": quality.quality_classifier,
 }
-ORACLE_SQL = {"op8_token_counts": rollups.ORACLE, "op10_one_bit_neighbours": codes.ORACLE}
+ORACLE_SQL = {"op4_minhash_near_dedup": minhash.ORACLE, "op8_token_counts": rollups.ORACLE, "op9_suffix_repeats": repeats.ORACLE, "op10_one_bit_neighbours": codes.ORACLE}

@@ -3,8 +3,8 @@
 Every 50-byte window of every text is a suffix cut at depth 50.  The windows are put into groups of equals by passes
 over ever finer digits, and a group that only one document holds leaves after each pass:
 
-1. the digit of a window is the least 64-bit hash of its 35 substrings of 16 bytes.  Neighbouring windows mostly share
-   it, so one row stands for a run of about 18 windows (a run never has more than 51);
+1. the digit of a window is the least 64-bit hash of its 31 substrings of 20 bytes.  Neighbouring windows mostly share
+   it, so one row stands for a run of about 16 windows (a run never has more than 51);
 2. the digit is the run's whole content, by two 64-bit window hashes.  A run whose equal starts in an earlier document is done;
 3. for what is left, the ends of long repeats mostly, the digit is the window itself.
 
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, runs_by_bytes, table, text_or_empty
+from .common import Scratch, byte_runs, table, text_or_empty
 
 LEAST = 50
-GRAM = 16
+GRAM = 20  # 16 and a power of two
 LONGEST_RUN = 51
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _29, _32 = np.uint64(29), np.uint64(32)
@@ -57,14 +57,14 @@ class Windows:
         if n <= 0:
             self.starts = np.zeros(0, np.int64)
             return
-        width = 1
-        while width < GRAM:
-            h = _join(h[:-width], h[width:])
+        of, width = {1: h}, 1
+        while width < 16 or whole and width < 32:
+            of[2 * width] = _join(of[width][:-width], of[width][width:])
             width *= 2
-        grams = h
+        rest = GRAM - 16
+        grams = _join(of[16][: len(of[rest]) - 16], of[rest][16:])
         if whole:
-            h = _join(h[:-16], h[16:])  # 32 bytes
-            self.window = _join(h[: n], h[18 : n + 18])
+            self.window = _join(of[32][:n], of[32][18 : n + 18])
         low, span, wanted = grams, 1, LEAST - GRAM + 1
         while 2 * span <= wanted:
             low = np.minimum(low[:-span], low[span:])
@@ -97,16 +97,15 @@ def _pack(tag: np.ndarray, start: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (at >> 8) & ((1 << 40) - 1), at & 255
+    return (at >> 8) & ((1 << 40) - 1), at & 127
 
 
 def _runs(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = as_bytes(batch.column(1))
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for lo, hi in runs_by_bytes(items, CHUNK):
-                w = Windows(items[lo:hi], whole)
+            for lo, _, items in byte_runs(batch.column(1), CHUNK):
+                w = Windows(items, whole)
                 text, start, more = w.runs()
                 if not len(text):
                     continue
@@ -120,34 +119,46 @@ def _runs(whole: bool):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, tag, [at]) to a row for each window of those runs."""
-    for batch in batches:
-        items = as_bytes(batch.column(1))
-        ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-        runs = batch.column(3)
-        for lo, hi in runs_by_bytes(items, CHUNK):
-            w = Windows(items[lo:hi])
-            part = runs.slice(lo, hi - lo)
-            start, more = _unpack(part.flatten().to_numpy())
-            text = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
-            each = np.repeat(np.arange(len(start)), more + 1)
-            inside = np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-            place = start[each] + inside
-            joined = w.at[text[each]] + place
-            yield pa.RecordBatch.from_pydict({
-                "digit": pa.array(w.digit[joined].view(np.int64)), "window": pa.array(w.window[joined].view(np.int64)),
-                "doc_id": pa.array(ids[lo + text[each]]), "at": pa.array(_pack(tags[lo + text[each]], place, np.zeros_like(place))),
-            })
+#: Added to a run that may still hold windows of earlier documents.
+OPEN = 128
+
+
+def _windows(only_open: bool):
+    """(doc_id, text, tag, [at]) to a row for each window of those runs; with its place for open runs alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            runs = batch.column(3)
+            for lo, hi, items in byte_runs(batch.column(1), CHUNK):
+                w = Windows(items)
+                part = runs.slice(lo, hi - lo)
+                at = part.flatten().to_numpy()
+                text = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+                if only_open:
+                    at, text = at[at & OPEN > 0], text[at & OPEN > 0]
+                start, more = _unpack(at)
+                each = np.repeat(np.arange(len(start)), more + 1)
+                place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                text = text[each]
+                joined = w.at[text] + place
+                for k in range(0, len(place), 1 << 17):
+                    j, x = joined[k : k + (1 << 17)], text[k : k + (1 << 17)]
+                    cols = {"digit": pa.array(w.digit[j].view(np.int64)), "window": pa.array(w.window[j].view(np.int64)), "doc_id": pa.array(ids[lo + x])}
+                    if only_open:
+                        cols["at"] = pa.array(_pack(tags[lo + x], place[k : k + (1 << 17)], np.zeros_like(x)))
+                    yield pa.RecordBatch.from_pydict(cols)
+
+    return run
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, [at] or null) to what is left of each text."""
     for batch in batches:
-        ids, items, gone = batch.column(0), as_bytes(batch.column(1)), batch.column(2)
-        for lo, hi in runs_by_bytes(items, 4 * CHUNK):
+        ids, gone = batch.column(0), batch.column(2)
+        for lo, hi, items in byte_runs(batch.column(1), 4 * CHUNK):
             kept, removed, spans = [], [], []
-            for t, at in zip(items[lo:hi], gone.slice(lo, hi - lo), strict=True):
+            for t, at in zip(items, gone.slice(lo, hi - lo), strict=True):
                 if not at.is_valid:
                     kept.append(t)
                     removed.append(0)
@@ -159,7 +170,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(np.frombuffer(t, np.uint8)[stays].tobytes())
                 removed.append(len(t) - len(kept[-1]))
                 spans.append(int(np.count_nonzero(np.diff(np.append(True, stays).astype(np.int8)) == -1)))
-            sizes = [len(t) for t in items[lo:hi]]
+            sizes = [len(t) for t in items]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": ids.slice(lo, hi - lo), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()),
@@ -188,21 +199,26 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.free_shuffles()
 
     equal = _held_by_several(runs.select("digit", "content", "doc_id"), ["digit", "content"], scratch, "equal-runs")
+    scratch.free_shuffles()
     both = runs.join(equal.withColumnRenamed("lo", "first"), ["digit", "content"], "left")
     both = scratch.cut(both.select("digit", "doc_id", "at", (F.col("doc_id") > F.col("lo")).alias("later"), F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("done")), "judged")
     scratch.drop(runs, equal)
+    scratch.free_shuffles()
     done = both.where("done").select("doc_id", "at")
     # digits with a later run that isn't done: all their runs that are no copies of earlier ones go to the last pass
     open_ = scratch.cut(both.where("later and not done").select("digit").distinct(), "open-digits")
-    rest = both.where("not done").join(open_, "digit").select("doc_id", "at")
+    marked = F.when(F.col("later"), F.col("at") + OPEN).otherwise(F.col("at")).alias("at")
+    rest = both.where("not done").join(open_, "digit").select("doc_id", marked)
     per_doc = rest.groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list("at").alias("ats"))
-    windows = tagged.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "ats")
-    windows = scratch.cut(windows.mapInArrow(_windows, f"digit bigint, window bigint, doc_id {kind}, at bigint"), "windows")
+    texts = scratch.cut(tagged.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "ats"), "open-texts")
     scratch.free_shuffles()
-    twice = _held_by_several(windows.select("digit", "window", "doc_id"), ["digit", "window"], scratch, "equal-windows")
-    found = windows.join(twice, ["digit", "window"]).where("doc_id > lo").select("doc_id", "at")
-    gone = scratch.cut(done.union(found).groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list("at").alias("ats")), "gone")
-    scratch.drop(windows, both, open_, twice)
+    windows = f"digit bigint, window bigint, doc_id {kind}"
+    twice = _held_by_several(texts.mapInArrow(_windows(False), windows), ["digit", "window"], scratch, "equal-windows")
+    scratch.free_shuffles()
+    found = texts.mapInArrow(_windows(True), windows + ", at bigint").join(twice, ["digit", "window"]).where("doc_id > lo").select("doc_id", "at")
+    gone = done.union(found).groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list("at").alias("ats"))
+    gone = scratch.cut(gone, "gone")
+    scratch.drop(texts, both, open_, twice)
     scratch.free_shuffles()
     out = tagged.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "ats")
     return out.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
@@ -211,3 +227,30 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op9"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+    SELECT doc_id, k, array_slice(b, k, k + 49) AS g FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS k FROM d WHERE n >= 50)
+), f AS (
+    SELECT g, min(doc_id) AS m FROM w GROUP BY g
+), x AS (
+    SELECT w.doc_id, k FROM w JOIN f ON w.g = f.g WHERE w.doc_id > m
+), i AS (
+    SELECT doc_id, k, sum(CASE WHEN k <= p + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS span
+    FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM x)
+), s AS (
+    SELECT doc_id, span, min(k) AS lo, max(k) + 50 AS hi FROM i GROUP BY ALL
+), q AS (
+    SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS since FROM s
+), t AS (
+    SELECT q.doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed, max(hi) AS last,
+           string_agg(CASE WHEN lo > since THEN hex(array_slice(b, since, lo - 1)) ELSE '' END, '' ORDER BY lo) AS kept
+    FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN t.doc_id IS NULL THEN b WHEN last > n THEN unhex(kept) ELSE unhex(kept || hex(array_slice(b, last, n))) END) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
