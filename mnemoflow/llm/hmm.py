@@ -6,7 +6,7 @@ class) or the end, and a class emits its words by their smoothed training counts
     P(text) = sum over state paths of  pi * prod A * prod B(class | state)   times   prod (c(word) + 0.1) / (N_class + 0.1 * (V_class + 1))
 
 What is broadcast is the states' tables, STATES * (CLASSES + 1) numbers at any corpus size; the vocabulary with its
-counts is never bounded nor gathered, it stays a table.  The texts are read once and packed in blocks of about 8 MB, each
+counts is never bounded nor gathered, it stays a table.  The texts are read once and packed in blocks of about 4 MB, each
 with its own distinct words; counts are summed over the blocks' words, and each block pulls those of its own words back.
 
 Training cuts texts into pieces of PIECE words, each starting from pi; every round sums the expected counts of all
@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, crc_mod, runs_by_bytes, table
+from .common import Scratch, byte_runs, crc_mod, table
 
 STATES, CLASSES = 6, 4096
 PIECE, ROUNDS = 256, 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 ALPHA = 0.1
 END = CLASSES
 LOG10 = np.log(10.0)
@@ -65,7 +65,7 @@ class Model:
         return Model(pi / pi.sum(), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0))
 
 
-def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 2048) -> np.ndarray:
+def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 1024) -> np.ndarray:
     """Baum-Welch expected counts of pi, a and b, flat, over pieces of classes (none empty)."""
     k = len(m.pi)
     pi_n, a_n, b_n = np.zeros(k), np.zeros((k, k)), np.zeros((len(m.b), k))
@@ -167,13 +167,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     seq = 0
     for batch in batches:
-        items, held = as_bytes(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-        for lo, hi in runs_by_bytes(items, BLOCK_BYTES):
+        held = batch.column(2).to_numpy(zero_copy_only=False)
+        for lo, hi, items in byte_runs(batch.column(1), BLOCK_BYTES):
             number: dict[bytes, int] = {}
             lens, tokens = [], []
             counts = np.zeros(0, np.int64)
-            for i in range(lo, hi):
-                words = items[i].lower().split()
+            for item in items:
+                words = item.lower().split()
                 ids = np.array([number.setdefault(w, len(number)) for w in words], np.uint32)
                 lens.append(len(ids))
                 tokens.append(ids)
@@ -255,7 +255,8 @@ def score(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     scratch.free_shuffles()
 
     asked = blocks.select("block", F.posexplode("vocab").alias("i", "word")).join(counts, "word")
-    pulled = asked.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("pulled"))
+    pulled = scratch.cut(asked.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("pulled")), "pulled")
+    scratch.free_shuffles()
     ready = blocks.drop("counts").join(pulled, "block", "left").drop("block")
     inside = np.log10(class_n + ALPHA * (class_v + 1))
     inside[END] = 0.0  # the end is its class's only token
