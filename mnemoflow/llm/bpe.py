@@ -74,6 +74,24 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text
     return docs.select(*others, F.col(text)).mapInArrow(run, schema), ids, decoded
 
 
+def id_counts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> tuple[DataFrame, str]:
+    """docs without its text, with the number of ids of the whole text; and that column's name."""
+    n_ids = fresh(docs, "n_ids")
+    others = [c for c in docs.columns if c != text]
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(shared.value, pattern)
+        for batch in batches:
+            texts = batch.column(len(others))
+            counts = [sum(len(enc.encode_ordinary(p)) for p in pieces(t.as_py() or "")) for t in texts]
+            cols = [batch.column(k) for k in range(len(others))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*others, n_ids])
+
+    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField(n_ids, T.LongType())])
+    return docs.select(*others, F.col(text)).mapInArrow(run, schema), n_ids
+
+
 def default_ranks(name: str = RANKS) -> tuple[bytes, str]:
     import public_tokenizers
 

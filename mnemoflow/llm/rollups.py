@@ -18,6 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import Scratch, n_words, table, text_or_empty
 
 KEY = ("source", "lang", "tokenizer")
@@ -115,6 +116,41 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+#: Tokenizer version: ids of op6's encoder over whole texts.
+BPE = "byte_bpe_multi_50k-1"
+
+
+def token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents, by words and by the ids of op6's encoder.
+
+    All documents come in, their ids estimated from their bytes; exact copies go and come back; the estimates are
+    revised to the numbers of ids; the first batch is replayed.
+    """
+    scratch = Scratch(spark, "op8-whole")
+    text = text_or_empty("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", F.sha2(text.cast("binary"), 256).alias("digest"),
+        n_words(text).alias("words"), F.ceil(F.octet_length(text) / 4).cast("long").alias("guess"), text.alias("text")
+    )
+    counted, ids = bpe.id_counts(docs, *bpe.default_ranks())
+    counted = scratch.cut(counted, "counted")
+    first = scratch.cut(counted.groupBy("digest").agg(F.min("doc_id").alias("first")), "first")
+    one = lambda name, n, old: F.struct(F.lit(name).alias("tokenizer"), F.col(n).alias("n"), F.col(old).alias("old"))
+    both = F.array(one("words-1", "words", "words"), one(BPE, ids, "guess"))
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")
+    held = scratch.cut(counted.join(first, "digest").select("lang", "source", copy, both.alias("t")), "held")
+    each = held.select("lang", "source", "copy", F.explode("t").alias("x")).select("lang", "source", "copy", "x.tokenizer", "x.n", "x.old")
+    change = lambda rows, kind, n: rows.select(F.lit(kind).alias("kind"), "source", "lang", "tokenizer", F.col(n).alias("tokens"), F.col("old").alias("old_tokens"))
+    rollup = Rollup(spark, f"{scratch.root}/rollup")
+    rollup.apply("ingest", change(each, "insert", "old"))
+    rollup.apply("copies-out", change(each.where("copy"), "delete", "old"))
+    rollup.apply("copies-back", change(each.where("copy"), "insert", "old"))
+    rollup.apply("count-ids", change(each.where(F.col("tokenizer") == BPE), "revise", "n"))
+    rollup.apply("ingest", change(each, "insert", "old"))
+    rollup.compact()
+    return rollup.totals()
+
+
 ORACLE = """
 WITH d AS (
     SELECT source, lang, coalesce(text, '') AS t,

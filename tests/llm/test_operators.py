@@ -272,6 +272,19 @@ def test_rollups_replay_and_compact(spark, tmp_path):
     assert r.apply("b4", batch(("insert", "z", "en", "v2", 1, 0)))
 
 
+def test_totals_hold_every_document_by_ids_of_the_encoder(spark, write):
+    texts = ["def f(x):\n    return x ** 2", "漢字かな交じり文" * 20, "$$$ ### ||| " * 9, "plain words", "plain words", "plain words", None, "", "a" * 70_000 + " b" * 40_000]
+    rows = [(i, t, None if i == 3 else "en", f"s{i % 2}") for i, t in enumerate(texts)] + [(None, "plain words", "en", None)]
+    folder = write("documents", rows, "doc_id bigint, text string, lang string, source string")
+    enc, want = bpe.encoding(*bpe.default_ranks()), {}
+    for _, t, lang, source in rows:
+        for name, n in (("words-1", len(brute.WORD.findall(t or ""))), (rollups.BPE, len(enc.encode_ordinary(t or "")))):
+            d, k = want.get((source, lang, name), (0, 0))
+            want[source, lang, name] = d + 1, k + n
+    got = rollups.token_counts_whole(spark, folder).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(700, 16)) * rng.random((700, 1)) * 3
