@@ -1,19 +1,22 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.  Each value found is a protected
-entity.  A term is a word of three letters or more among the five on either side of an entity.  From corpus co-occurrence,
-with N documents, n_e with the entity, n_t with the term anywhere and n_te with the term beside the entity,
+entity.  A term is a run of three letters or more outside the base spans.  From corpus co-occurrence by document,
+with N documents, n_e with the entity, n_t with the term and n_te with both,
 
     information of the entity   IC  = log2(N / n_e)
     what the term tells of it   PMI = log2(N * n_te / (n_t * n_e))
 
-and a term discloses the entity if PMI >= DISCLOSURE * IC, and it was seen beside it in SUPPORT documents (one or two would
-make any rare word disclosing).  Such terms are spans of kind ``term`` wherever they stand beside that entity.
+and a term discloses the entity if PMI >= DISCLOSURE * IC, and both are in SUPPORT documents (one or two would
+make any rare word disclosing).  Such terms are spans of kind ``term`` wherever they stand in a document with that entity.
 Redaction generalises each span to the name of its kind.
 
 The patterns are the contract's, written so that Java's matcher is linear and doesn't recurse: possessive, and
 starting only where a leftmost match can start.
 
+Only pairs that can disclose are counted: n_te <= n_e, so a disclosing term has n_t <= N * (n_e / N) ** DISCLOSURE, and
+SUPPORT documents at least, as has its entity.  The bound leaves out frequent words exactly, before any pair is made.
+
 Defined cases: null text counts as empty, without spans; repeated rows each count as a document and have their own
 result; ties (overlapping kinds) are all listed, and redacted together under the first's name; an empty table
 gives an empty result; an entity in every document has IC 0 and no disclosing terms.  Other columns are not read.
@@ -21,6 +24,8 @@ gives an empty result; an entity in every document has IC 0 and no disclosing te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +40,10 @@ PATTERNS = {
 }
 TERM = r"\p{L}{3,}+"
 DISCLOSURE, SUPPORT = 0.95, 3
-BESIDE, REACH = 5, 120
 
 
-def _places(text: Column, pattern: str, when: Column | None = None) -> Column:
-    """array<struct<start, end, value>> of the pattern's matches; positions in code points."""
+def _places(text: Column, pattern: str, when: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, end, value>> of the pattern's matches, or of those to keep; positions in code points."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     if when is not None:
         matches = F.when(when, matches).otherwise(F.array().cast("array<string>"))
@@ -51,7 +55,8 @@ def _places(text: Column, pattern: str, when: Column | None = None) -> Column:
         lo = acc["at"] + F.length(p["g"])
         hi = lo + F.length(p["m"])
         one = F.struct(lo.alias("start"), hi.alias("end"), p["m"].alias("value"))
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        more = F.concat(acc["out"], F.array(one))
+        return F.struct(hi.alias("at"), (more if keep is None else F.when(keep(p["m"]), more).otherwise(acc["out"])).alias("out"))
 
     return F.aggregate(pairs, start, add, lambda acc: acc["out"])
 
@@ -96,56 +101,57 @@ def _entity(span: Column) -> Column:
     return out
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the terms on either side of each span, outside all spans."""
-
-    def of(span: Column) -> Column:
-        lo, n = F.greatest(span["start"] - REACH, F.lit(0)), F.length(text)
-        left = F.substring(text, lo + 1, span["start"] - lo)
-        right = F.substring(text, span["end"] + 1, F.lit(REACH))
-        # a word that the reach cuts is none
-        before = F.filter(_places(left, TERM), lambda p: (p["start"] > 0) | (lo == 0))
-        after = F.filter(_places(right, TERM), lambda p: (p["end"] < REACH) | (span["end"] + REACH >= n))
-        moved = lambda places, by: F.transform(places, lambda p: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"), F.lower(p["value"]).alias("term")))
-        near = F.concat(moved(F.slice(before, F.greatest(F.size(before) - BESIDE + 1, F.lit(1)), BESIDE), lo), moved(F.slice(after, 1, BESIDE), span["end"]))
-        clear = F.filter(near, lambda p: ~F.exists(spans, lambda s: (p["start"] < s["end"]) & (s["start"] < p["end"])))
-        value = _entity(span)
-        return F.transform(clear, lambda p: F.struct(value.alias("entity"), p["term"].alias("term"), p["start"].alias("start"), p["end"].alias("end")))
-
-    return F.flatten(F.transform(spans, of))
-
-
-def disclosing(found: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term) pairs whose disclosure reaches the threshold; counts are over all documents."""
-    n = docs.count()
-    once = lambda c, *fields: F.array_distinct(F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in fields])))
-    pairs = found.select(F.explode(once(F.col("terms"), "entity", "term")).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
-    pairs = scratch.cut(pairs.where(F.col("n_te") >= SUPPORT), "pairs")
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    wanted = terms.join(pairs.select("term").distinct(), "term")
-    rated = pairs.join(entities, "entity").join(wanted, "term")
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a blank for each character of the spans, so positions stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        lo = F.greatest(acc["at"], s["start"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, lo - acc["at"]), F.repeat(F.lit(" "), s["end"] - lo))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def disclosing(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity, term) pairs whose disclosure reaches the threshold, by counts over all documents; and (row, entity) and (row, term) that can be of such."""
+    n = found.count()
+    per = found.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity"))
+    n_e = per.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    # by most of n_e, and a little more for rounding
+    n_e = scratch.cut(n_e.withColumn("most", n * F.pow(F.col("n_e") / n, F.lit(DISCLOSURE)) * (1 + 1e-9)), "entities")
+    most = n_e.agg(F.max("most")).first()[0] or 0.0
+    held = scratch.cut(per.join(n_e, "entity"), "held")
+    n_t = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = n_t.where((F.col("n_t") >= SUPPORT) & (F.col("n_t") <= most))
+    rows = found.where(F.size("entities") > 0).select("row", "terms").join(held.select("row").distinct(), "row", "left_semi")
+    rare = scratch.cut(rows.select("row", F.explode("terms").alias("term")).join(n_t, "term"), "rare")
+    pairs = held.join(rare, "row").where(F.col("n_t") <= F.col("most")).groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return scratch.cut(rated.where((ic > 0) & (pmi >= DISCLOSURE * ic)).select("entity", "term"), "disclosing")
+    pairs = pairs.where((F.col("n_te") >= SUPPORT) & (ic > 0) & (pmi >= DISCLOSURE * ic)).select("entity", "term")
+    return scratch.cut(pairs, "disclosing"), held.select("row", "entity"), rare.select("row", "term")
 
 
 def find(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, row_key, base, spans) for every row: arrays of struct<start, kind, end>, kind 4 for terms; both sorted."""
     t = docs.select("doc_id", text_or_empty("text").alias("t"), F.xxhash64("doc_id", "text").alias("row_key"))
     found = _base(t, "t", "base")
-    terms = F.when(F.size("base") > 0, _beside(F.col("t"), F.col("base"))).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-
-    found = found.withColumn("terms", terms).withColumn("entities", F.array_distinct(F.transform("base", _entity)))
+    found = found.withColumn("left", F.when(F.size("base") > 0, _blanked(F.col("t"), F.col("base"))).otherwise(F.col("t")))
+    found = found.withColumn("terms", F.array_distinct(F.transform(F.regexp_extract_all("left", F.lit(TERM), F.lit(0)), F.lower)))
+    found = found.withColumn("entities", F.array_distinct(F.transform("base", _entity)))
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = scratch.cut(found.select("doc_id", "row_key", bare.alias("base"), "terms", "entities"), "found")
-    pairs = disclosing(found.where(F.size("base") > 0), docs, scratch)
-    beside = found.where(F.size("terms") > 0).select("row_key", F.explode("terms").alias("p")).select("row_key", "p.*")
-    told = beside.join(pairs, ["entity", "term"]).select("row_key", F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end")).alias("s"))
-    told = scratch.cut(told.groupBy("row_key").agg(F.collect_set("s").alias("told")), "told")
-    out = found.select("doc_id", "row_key", "base").join(told, "row_key", "left")
-    return out.select("doc_id", "row_key", "base", F.array_sort(F.concat("base", F.coalesce("told", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    blanked = F.when(F.size("base") > 0, F.col("left")).alias("left")
+    found = scratch.cut(found.select("doc_id", "row_key", F.monotonically_increasing_id().alias("row"), bare.alias("base"), "entities", "terms", blanked), "found")
+    pairs, held, rare = disclosing(found, scratch)
+    told = rare.join(pairs.select("term").distinct(), "term").join(held, "row").join(pairs, ["entity", "term"])
+    told = told.groupBy("row").agg(F.collect_set("term").alias("told"))
+    marked = found.where(F.size("base") > 0).select("row", "left").join(told, "row")
+    places = _places(F.col("left"), TERM, keep=lambda m: F.array_contains("told", F.lower(m)))
+    marks = F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), p["end"].alias("end")))
+    marked = scratch.cut(marked.select("row", marks.alias("marks")), "marked")
+    out = found.select("doc_id", "row_key", "row", "base").join(marked, "row", "left")
+    return out.select("doc_id", "row_key", "base", F.array_sort(F.concat("base", F.coalesce("marks", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
 
 
 def _listed(spans: str) -> Column:

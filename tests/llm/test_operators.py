@@ -125,6 +125,20 @@ def test_disclosing_terms_are_generalised_and_plain_documents_left_alone(spark):
     assert out[0] == "common words here [TERM] writes to [EMAIL] with common words"
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    filler = " ".join(["common words here and there"] * 40)
+    told = [(i, f"Grubnik writes to me@mail.org. {filler} later GRUBNIK lives in 漢字漢字{'かな' * 70}, {filler} Quorble") for i in range(4)]
+    rest = [(100 + i, f"later common words here and there number writes lives with {i}") for i in range(40)]
+    alone = [(200, "Zarnok beside other@mail.org only once"), (201, None)]
+    df = spark.createDataFrame([*told, *told[:1], *rest, *alone], "doc_id bigint, text string")
+    got = private.redact(df, Scratch(spark, "t")).collect()
+    out = {r["doc_id"]: r["text"] for r in got}
+    assert len(got) == 47
+    for i, _ in told:
+        assert out[i] == f"[TERM] writes to [EMAIL] {filler} later [TERM] lives in [TERM], {filler} [TERM]".replace("[EMAIL]", "[EMAIL].")
+    assert all(out[i] == t for i, t in rest) and out[200] == "Zarnok beside [EMAIL] only once" and out[201] is None
+
+
 def test_bpe(spark, docs, rows, none):
     import public_tokenizers
     import tiktoken
