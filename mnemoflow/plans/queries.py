@@ -233,6 +233,14 @@ def vector_topk_cosine(spark, sf_dir):
     return vectors.nearest(q, v).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def vector_topk_cosine_blocks(spark, sf_dir):
+    # every twentieth vector against all, as many as the table has
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return vectors.nearest(q, v).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def _tree(spark, sf_dir):
     leaves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("owner"), "vec_id", F.col("vec_id").cast("string").alias("text"), "embedding")
     return vectors.tree(leaves, ["owner"], "vec_id")
