@@ -218,6 +218,15 @@ def episodic_tag_bonus_topk(spark, sf_dir):
     return retrieval.best(retrieval.indexed(q, e, [])).select("query_id", "seq", "score", "rank")
 
 
+@query()
+def episodic_tag_bonus_topk_whole(spark, sf_dir):
+    # documents never pass the store, so all of their words count
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), retrieval.query_words("text").alias("words"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq"), "text", F.array("lang", "source").alias("tags"))
+    e = d.select("seq", retrieval.episode_words("text", F.lit(""), "tags").alias("words"), "tags")
+    return retrieval.best(retrieval.indexed(q, e, [])).select("query_id", "seq", "score", "rank")
+
+
 @query(f"WITH {TURNS} SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t) WHERE r <= 5")
 def episodic_fallback_last5(spark, sf_dir):
     return retrieval.newest(_turns(spark, sf_dir).withColumn("seq", F.col("turn")), KEYS).select("conv_id", "turn", "text")
