@@ -176,6 +176,7 @@ def _pairs_of(band: int, i: int, j: int, group: pa.Table) -> Iterator[tuple[int,
     similarity, signatures that agree too seldom, and pairs whose first common band is another one.
     """
     ids, comp, block, low, n = (group.column(c).to_numpy() for c in ("id", "comp", "block", "lo", "n"))
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES // ROWS_PER_BAND)
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     for x in left:
@@ -183,9 +184,9 @@ def _pairs_of(band: int, i: int, j: int, group: pa.Table) -> Iterator[tuple[int,
             continue
         y = right[(comp[right] != comp[x]) & (ids[right] != low[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
         y = y[ids[y] > ids[x]] if i == j else y
-        equal = sig[y] == sig[x]
-        first = equal.reshape(len(y), COORDINATES // ROWS_PER_BAND, ROWS_PER_BAND).all(axis=2).argmax(axis=1)
-        yield x, y[(equal.sum(axis=1) >= LEAST_EQUAL) & (first == band)]
+        # the bands' whole keys, as the buckets have them: signatures are kept cut to 16 bits
+        first = (bands[y] == bands[x]).argmax(axis=1)
+        yield x, y[((sig[y] == sig[x]).sum(axis=1) >= LEAST_EQUAL) & (first == band)]
 
 
 def _open_rows(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -249,13 +250,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n"), F.sum("n").alias("size"), F.min("id").alias("lo"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int")
     mixed = scratch.cut(mixed.where("n > 2 and c1 < c2").select("band", "lo", blocks.alias("blocks")), "mixed")
-    inside = placed.join(mixed, "band").join(reps.select("id", "sig"), "id")
+    inside = placed.join(mixed, "band").join(reps.select("id", "sig", "bands"), "id")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("band", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "lo", "block", "n", "sig")
+    inside = inside.select("band", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "lo", "block", "n", "sig", "bands")
     keys = ["band", "k", "i", "j"]
     still = scratch.cut(inside.groupBy(*keys).applyInArrow(_open_rows, inside.schema), "still-open")
-    still = still.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select(*keys, "id", "comp", "lo", "block", "n", "sig", "text")
+    still = still.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select(*keys, "id", "comp", "lo", "block", "n", "sig", "bands", "text")
     more_links = scratch.cut(still.groupBy(*keys).applyInArrow(_links, "a bigint, b bigint").distinct(), "more-links")
     if more_links.limit(1).count():
         comps = scratch.cut(components(links.union(more_links), scratch), "components")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def test_links_that_miss_the_smallest(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.near(rows)
 
 
+def test_first_common_band_is_by_whole_keys():
+    sig = np.tile(np.random.default_rng(3).integers(0, 2**32, 128, np.uint32), (2, 1))
+    sig[1, :4] ^= np.uint32(1 << 16)  # band 0 agrees in the low 16 bits alone, so the pair has no bucket there
+    group = pa.table({
+        "id": [5, 6], "comp": [5, 6], "block": [0, 0], "lo": [1, 1], "n": [100, 100],
+        "sig": pa.array([s.astype("<u2").tobytes() for s in sig], pa.binary()), "bands": [list(map(int, k)) for k in minhash.band_keys(sig)],
+    })
+    compared = {k: [(int(x), y.tolist()) for x, y in minhash._pairs_of(k, 0, 0, group) if len(y)] for k in (0, 1, 2)}
+    assert compared == {0: [], 1: [(0, [1])], 2: []}
+
+
 def test_keep_first_keeps_columns_nulls_and_one_of_each(spark, docs, rows):
     more = docs.union(docs.where("doc_id = 4")).union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("bigint")))
     out = minhash.keep_first(more, Scratch(spark, "t"))
