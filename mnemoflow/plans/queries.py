@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cost, tools
@@ -269,8 +269,7 @@ def tree_collapsed_topk(spark, sf_dir):
 
 def _tree_questions(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.withColumn("r", F.row_number().over(w)).where("r <= 2").select(F.col("label").cast("long").alias("owner"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.where("vec_id % 20 = 0").select(F.col("label").cast("long").alias("owner"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query()
