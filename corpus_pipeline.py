@@ -34,10 +34,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row's text, with its id, source and language."""
-    own = docs.select("doc_id", "source", "lang", "text")
+    """The token ids of each row's text, with its position in the training order, id, source and language."""
+    own = mixing.positions(docs.select("doc_id", "source", "lang", "text"))
     out, ids, decoded = bpe.encode_decode(own, *bpe.default_ranks())
-    return out.select("doc_id", "source", "lang", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("token_ids"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    return out.select("position", "doc_id", "source", "lang", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("token_ids"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -89,10 +89,23 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.repartitionByRange(F.col(time), F.col(key)).sortWithinPartitions(time, key).select(*docs.columns)
 
 
+def positions(mixed: DataFrame) -> DataFrame:
+    """mixed, which must be read from the files that mix wrote, with its rows' positions in the training order, from 0.
+
+    Files are named in the order of the ranges, and rows lie in them in order; only a row for each file is summed up.
+    """
+    name, row, ahead, position = (fresh(mixed, c) for c in ("file_name", "row_in_file", "rows_ahead", "position"))
+    own = mixed.select("*", F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias(row))
+    files = own.groupBy(name).agg(F.count("*").alias("n"))
+    before = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(name, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(ahead))
+    return own.join(F.broadcast(files), name).select(*mixed.columns, (F.col(ahead) + F.col(row)).alias(position))
+
+
 def mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Scratch(spark, "op7"))
     out = out.withColumn("first_time", F.try_element_at("times", F.lit(1)))
     out = out.repartitionByRange(F.col("first_time"), F.col("row_key")).sortWithinPartitions("first_time", "row_key")
-    return out.select("doc_id", "size", "source_size", "target", "taken", "first_time")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_time", "times")
 
 

@@ -7,6 +7,9 @@ import brute
 import corpus_pipeline
 from test_operators import words
 
+from mnemoflow.llm import mixing
+from mnemoflow.llm.common import Scratch
+
 
 def test_stages_take_effect(spark, write):
     rng = random.Random(4)
@@ -42,6 +45,21 @@ def test_stages_take_effect(spark, write):
     assert sorted(corpus_pipeline.run(spark, folder).toPandas().doc_id) == sorted(seen[4].doc_id)
 
 
+def test_positions_are_the_order_of_training(spark, write):
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, rng.randrange(5, 60))), "en", f"s{i % 3}") for i in range(90)]
+    folder = write("documents", rows, "doc_id bigint, text string, lang string, source string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    dict(corpus_pipeline.STAGES)["mix"](spark, docs, folder).write.option("maxRecordsPerFile", 7).parquet(f"{folder}/mixed")
+    out = corpus_pipeline.encode(spark, spark.read.parquet(f"{folder}/mixed"), folder).orderBy("position").collect()
+    plan = mixing.plan(docs, Scratch(spark, "t")).collect()
+    want = [i for _, _, i in sorted((t, r["row_key"], r["doc_id"]) for r in plan for t in r["times"])]
+    assert [r["position"] for r in out] == list(range(len(want))) and [r["doc_id"] for r in out] == want
+    assert sorted(set(want)) != want
+    every = {r["doc_id"]: r["times"] for r in mixing.mixing_curriculum(spark, folder).collect()}
+    assert every == {r["doc_id"]: r["times"] for r in plan} and any(len(t) == 2 for t in every.values())
+
+
 def test_empty_documents(spark, write):
     folder = write("documents", [], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     write("labels", [], "doc_id bigint, quality int, toxic int")
