@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,10 +22,16 @@ CHUNK_BYTES = 2 << 20
 _own_dir: dict[str, str] = {}
 
 
+#: Spark's own removal of a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (single machine)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and one machine does all."""
     if there := spark.conf.get("spark.checkpoint.dir", None):
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: scratch tables go there")
     if "at" not in _own_dir:
         _own_dir["at"] = "file://" + tempfile.mkdtemp(prefix="mnemoflow-")
     return _own_dir["at"]
@@ -45,9 +49,15 @@ class Scratch:
         atexit.register(self.clear)
 
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """df as written; the shuffles that made it are removed at once, for nothing will read them again."""
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._mnemoflow_path = path
         return out
@@ -61,16 +71,6 @@ class Scratch:
         for t in tables:
             self._delete(t._mnemoflow_path)
 
-    def free_shuffles(self) -> None:
-        """Lets Spark's cleaner see that finished shuffles are unreachable, so their files go before the next phase.
-
-        The driver's heap is small and calm while executors work, so it may not collect its garbage for long by itself.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-
     def clear(self) -> None:
         try:
             self._delete(self.root)

@@ -252,11 +252,9 @@ def score(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     total, distinct = words_n + ends, words_v + (ends > 0)
     class_n[END] = ends
     model = train(blocks, class_n / max(total, 1), rounds)
-    scratch.free_shuffles()
 
     asked = blocks.select("block", F.posexplode("vocab").alias("i", "word")).join(counts, "word")
     pulled = scratch.cut(asked.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("pulled")), "pulled")
-    scratch.free_shuffles()
     ready = blocks.drop("counts").join(pulled, "block", "left").drop("block")
     inside = np.log10(class_n + ALPHA * (class_v + 1))
     inside[END] = 0.0  # the end is its class's only token

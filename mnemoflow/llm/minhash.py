@@ -242,7 +242,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.cut(pairs, "pairs")
     links = scratch.cut(_verified(pairs, reps, texts).distinct(), "links")
     scratch.drop(pairs)
-    scratch.free_shuffles()
     comps = scratch.cut(components(links, scratch), "components")
 
     own = reps.join(comps, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("comp"))

@@ -1,16 +1,23 @@
-"""Passages that also stand in an earlier document: depth-limited most-significant-digit sorting of windows.
+"""Passages that also stand in an earlier document: depth-limited most-significant-digit passes over suffixes.
 
-Every 50-byte window of every text is a suffix cut at depth 50.  The windows are put into groups of equals by passes
-over ever finer digits, and a group that only one document holds leaves after each pass:
+Every 50-byte window of every text is a suffix cut at depth 50.  What decides is its own prefix: big-endian digits of
+eight bytes, three of them in a first pass and the rest in a second.  After each pass the suffixes that only
+one document holds leave; groups that are equal to the end are exactly the repeated windows.
 
-1. the digit of a window is the least 64-bit hash of its 31 substrings of 20 bytes.  Neighbouring windows mostly share
-   it, so one row stands for a run of about 16 windows (a run never has more than 51);
-2. the digit is the run's whole content, by two 64-bit window hashes.  A run whose equal starts in an earlier document is done;
-3. for what is left, the ends of long repeats mostly, the digit is the window itself.
+Most suffixes are settled before that, by two passes over stretches of neighbouring ones, so that a row stands for many:
 
-A window is known by its first digit and its own hash, 128 bits in all.  Groups are never gathered: each pass takes
-the smallest and largest doc_id of a digit by partial aggregation and joins them back by two plain shuffles, which adaptive execution splits
-where a digit is hot.  (Sorting all windows one by one would move 20 bytes for each byte of text.)
+1. a window's anchor is the place of its least gram of 20 bytes (the least 32 bits of hash, the leftmost of equals), a run is the
+   windows of one anchor, 16 in the mean.  Equal windows have equal grams at their anchors, so runs whose gram one document alone
+   holds leave.  A run that stands whole in an earlier document is done;
+2. runs that are still open are cut in blocks of up to 8 windows by their distance to the anchor.  Equal windows lie in equal
+   blocks and share the 43 bytes that all windows of such a block have; so blocks whose 43 bytes one document alone holds
+   leave, and a block that stands whole in an earlier document is done.
+
+Only windows of blocks that are open after this are ordered one by one.  (Ordering all suffixes alone by their first digits would
+move 32 bytes for each byte of text; README has the figures.)  Stretches are compared by two hashes of 64 bits, windows by all their bytes.
+
+Groups are never gathered: each pass takes the smallest and largest doc_id of a digit by partial aggregation and joins
+them back by two plain shuffles, which adaptive execution splits where a digit is hot.
 
 Defined cases: null text counts as empty; texts under 50 bytes keep all; rows that repeat a doc_id are never earlier
 than each other, each has its own result; a null doc_id is neither earlier nor later, its text stays whole.  Only doc_id and text are read.
@@ -18,7 +25,7 @@ than each other, each has its own result; a null doc_id is neither earlier nor l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +36,13 @@ from .common import Scratch, byte_runs, table, text_or_empty
 
 LEAST = 50
 GRAM = 20  # 16 and a power of two
-LONGEST_RUN = 51
+BLOCK = 8
+SHARED = LEAST - BLOCK + 1  # bytes that all windows of a block have
 CHUNK = 1 << 19
 
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _29, _32 = np.uint64(29), np.uint64(32)
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _BYTE = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -47,12 +56,13 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of all windows of some texts laid end to end; only starts whose window lies within one text count."""
+    """All windows of some texts laid end to end; only starts whose window lies within one text count."""
 
     def __init__(self, texts: list[bytes], whole: bool = True):
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.at = np.cumsum([0, *self.sizes])
-        h = _BYTE[np.frombuffer(b"".join(texts), np.uint8)]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.at = np.cumsum([0, *sizes])
+        self.joined = np.frombuffer(b"".join(texts), np.uint8)
+        h = _BYTE[self.joined]
         n = len(h) - LEAST + 1
         if n <= 0:
             self.starts = np.zeros(0, np.int64)
@@ -62,15 +72,16 @@ class Windows:
             of[2 * width] = _join(of[width][:-width], of[width][width:])
             width *= 2
         rest = GRAM - 16
-        grams = _join(of[16][: len(of[rest]) - 16], of[rest][16:])
+        self.grams = _join(of[16][: len(of[rest]) - 16], of[rest][16:])
         if whole:
-            self.window = _join(of[32][:n], of[32][18 : n + 18])
-        low, span, wanted = grams, 1, LEAST - GRAM + 1
+            self.of_32 = of[32]
+            self.window = _join(of[32][:n], of[32][LEAST - 32 : n + LEAST - 32])
+        low, span, wanted = (self.grams & _HIGH) | np.arange(len(self.grams), dtype=np.uint64), 1, LEAST - GRAM + 1
         while 2 * span <= wanted:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        self.digit = np.minimum(low[:n], low[wanted - span : n + wanted - span])
-        room = np.maximum(self.sizes - LEAST + 1, 0)
+        self.anchor = (np.minimum(low[:n], low[wanted - span : n + wanted - span]) & _LOW).astype(np.int64)
+        room = np.maximum(sizes - LEAST + 1, 0)
         first = np.repeat(self.at[:-1] - np.cumsum([0, *room[:-1]]), room)
         self.starts = np.arange(int(room.sum())) + first
         self.text = np.repeat(np.arange(len(texts)), room)
@@ -80,76 +91,112 @@ class Windows:
         if not len(self.starts):
             none = np.zeros(0, np.int64)
             return none, none, none
-        digit = self.digit[self.starts]
-        new = np.ones(len(digit), bool)
-        new[1:] = (digit[1:] != digit[:-1]) | (np.diff(self.starts) != 1)
+        anchor = self.anchor[self.starts]
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
         first = np.flatnonzero(new)
-        length = np.diff([*first, len(new)]) if len(first) < 2 else np.diff(np.append(first, len(new)))
-        if length.max() > LONGEST_RUN:
-            place = np.arange(len(new)) - np.repeat(first, length)
-            first = np.flatnonzero(place % LONGEST_RUN == 0)
-            length = np.diff(np.append(first, len(new)))
-        return self.text[first], self.starts[first], length - 1
+        return self.text[first], self.starts[first], np.diff(np.append(first, len(new))) - 1
+
+    def content(self, start: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Of a stretch of windows."""
+        return _join(_join(self.window[start], self.window[start + more]), more.astype(np.uint64))
+
+    def blocks(self, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks of runs: the run's number, start, windows less one, and the hash of what such a block's windows share."""
+        anchor = self.anchor[start]
+        far = anchor - start
+        near = far - more
+        n = far // BLOCK - near // BLOCK + 1
+        run = np.repeat(np.arange(len(start)), n)
+        block = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + (near // BLOCK)[run]
+        lo, hi = np.maximum(near[run], BLOCK * block), np.minimum(far[run], BLOCK * block + BLOCK - 1)
+        common = anchor[run] - BLOCK * block
+        digit = _join(_join(self.of_32[common], self.of_32[common + SHARED - 32]), block.astype(np.uint64))
+        return run, anchor[run] - hi, hi - lo, digit
+
+    def digits(self, start: np.ndarray, at: int, width: int = 8) -> pa.Array:
+        """The digit of width bytes at a place of each window."""
+        if not len(start):
+            return pa.array([], pa.int64())
+        own = np.zeros((len(start), 8), np.uint8)
+        own[:, 8 - width :] = np.lib.stride_tricks.sliding_window_view(self.joined, width)[start + at]
+        return pa.array(own.view(">i8").ravel().astype(np.int64))
+
+
+def _pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return (start << 8) | more
 
 
-def _pack(tag: np.ndarray, start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return (tag << 48) | (start << 8) | more
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at >> 8, at & 127
 
 
-def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (at >> 8) & ((1 << 40) - 1), at & 127
+def _ints(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64))
 
 
-def _runs(whole: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for lo, _, items in byte_runs(batch.column(1), CHUNK):
-                w = Windows(items, whole)
-                text, start, more = w.runs()
-                if not len(text):
-                    continue
-                digit = w.digit[start]
-                cols = {"digit": pa.array(digit.view(np.int64)), "doc_id": pa.array(ids[lo + text])}
-                if whole:
-                    content = _join(_join(w.window[start], w.window[start + more]), more.astype(np.uint64))
-                    cols |= {"content": pa.array(content.view(np.int64)), "at": pa.array(_pack(tags[lo + text], start - w.at[text], more))}
-                yield pa.RecordBatch.from_pydict(cols)
+#: From the windows of some texts, and each text's stretches (text, start in the joined texts, more), to columns and each row's text.
+Rows = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray], tuple[dict[str, pa.Array], np.ndarray]]
+
+
+def _run_grams(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
+    return {"digit": _ints(w.grams[w.anchor[start]])}, text
+
+
+def _run_rows(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
+    return {"digit": _ints(w.grams[w.anchor[start]]), "content": _ints(w.content(start, more)), "at": pa.array(_pack(start - w.at[text], more))}, text
+
+
+def _block_rows(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
+    run, lo, more, digit = w.blocks(start, more)
+    text = text[run]
+    return {"digit": _ints(digit), "content": _ints(w.content(lo, more)), "at": pa.array(_pack(lo - w.at[text], more))}, text
 
-    return run
 
+def _each(start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch's number and the start of each window of some stretches."""
+    n = more + 1
+    of = np.repeat(np.arange(len(start)), n)
+    return of, start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
-#: Added to a run that may still hold windows of earlier documents.
-OPEN = 128
 
+def _prefixes(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
+    of, at = _each(start, more)
+    return {f"d{k}": w.digits(at, 8 * k) for k in range(3)}, text[of]
 
-def _windows(only_open: bool):
-    """(doc_id, text, tag, [at]) to a row for each window of those runs; with its place for open runs alone."""
+
+def _suffix_rows(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
+    of, at = _each(start, more)
+    text = text[of]
+    cols = {f"d{k}": w.digits(at, 8 * k) for k in range(6)} | {"d6": w.digits(at, 48, 2)}
+    return cols | {"at": pa.array(_pack(at - w.at[text], np.zeros_like(at)))}, text
+
+
+FIRST, REST = ["d0", "d1", "d2"], ["d3", "d4", "d5", "d6"]
+
+
+def _mapped(texts: DataFrame, keys: list[str], rows: Rows, names: list[str], given: bool = True, whole: bool = True) -> DataFrame:
+    """texts(keys, text, [ats]) to rows(names, keys): of the stretches that are given, or else of all runs."""
+    kinds = {c: texts.schema[c].dataType.simpleString() for c in keys}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            runs = batch.column(3)
-            for lo, hi, items in byte_runs(batch.column(1), CHUNK):
-                w = Windows(items)
-                part = runs.slice(lo, hi - lo)
-                at = part.flatten().to_numpy()
-                text = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
-                if only_open:
-                    at, text = at[at & OPEN > 0], text[at & OPEN > 0]
-                start, more = _unpack(at)
-                each = np.repeat(np.arange(len(start)), more + 1)
-                place = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                text = text[each]
-                joined = w.at[text] + place
-                for k in range(0, len(place), 1 << 17):
-                    j, x = joined[k : k + (1 << 17)], text[k : k + (1 << 17)]
-                    cols = {"digit": pa.array(w.digit[j].view(np.int64)), "window": pa.array(w.window[j].view(np.int64)), "doc_id": pa.array(ids[lo + x])}
-                    if only_open:
-                        cols["at"] = pa.array(_pack(tags[lo + x], place[k : k + (1 << 17)], np.zeros_like(x)))
-                    yield pa.RecordBatch.from_pydict(cols)
-
-    return run
+            for lo, hi, items in byte_runs(batch.column("text"), CHUNK):
+                w = Windows(items, whole)
+                if given:
+                    ats = batch.column("ats").slice(lo, hi - lo)
+                    text = np.repeat(np.arange(hi - lo), np.diff(ats.offsets.to_numpy()))
+                    start, more = _unpack(ats.flatten().to_numpy())
+                    start = start + w.at[text]
+                else:
+                    text, start, more = w.runs()
+                for k in range(0, len(text), 1 << 16):
+                    cols, of = rows(w, text[k : k + (1 << 16)], start[k : k + (1 << 16)], more[k : k + (1 << 16)])
+                    own = pa.array(lo + of)
+                    yield pa.RecordBatch.from_pydict({c: cols[c] for c in names} | {c: batch.column(c).take(own) for c in keys})
+
+    read = ["text", "ats"] if given else ["text"]
+    return texts.select(*keys, *read).mapInArrow(run, ", ".join([*(f"{c} bigint" for c in names), *(f"{c} {k}" for c, k in kinds.items())]))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,50 +224,59 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _held_by_several(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """(keys, lo): the smallest doc_id of each key that more than one document holds."""
-    got = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    return scratch.cut(got, name)
+def _held_by_several(rows: DataFrame, digits: list[str]) -> DataFrame:
+    """(digits, lo): the smallest doc_id of each group that more than one document holds."""
+    return rows.groupBy(*digits).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+
+
+def _sifted(light: DataFrame, rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(what stands whole in an earlier document, what stays open) of rows(digit, content, keys, at); light has their digits and doc_ids."""
+    several = scratch.cut(_held_by_several(light, ["digit"]), f"{name}-digits")
+    held = scratch.cut(rows.join(several, "digit").select("digit", "lo", "content", *keys, "at"), name)
+    scratch.drop(several)
+    equal = scratch.cut(_held_by_several(held, ["digit", "content"]).withColumnRenamed("lo", "first"), f"{name}-equal")
+    done = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    judged = held.join(equal, ["digit", "content"], "left").select("digit", *keys, "at", (F.col("doc_id") > F.col("lo")).alias("later"), done.alias("done"))
+    judged = scratch.cut(judged, f"{name}-judged")
+    scratch.drop(held, equal)
+    # digits with a later stretch that isn't done: all their stretches that are no copies of earlier ones stay, those of the first holders too
+    wanted = scratch.cut(judged.where("later and not done").select("digit").distinct(), f"{name}-wanted")
+    return judged.where("done").select(*keys, "at"), judged.where("not done").join(wanted, "digit").select(*keys, "at")
+
+
+def _with_stretches(texts: DataFrame, stretches: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """(keys, text, ats) of texts; a text's stretches are no more than its bytes."""
+    return texts.select(*keys, "text").join(stretches.groupBy(*keys).agg(F.collect_list("at").alias("ats")), keys, how)
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of docs; kept are the bytes that stay."""
-    # tag tells rows that repeat a doc_id with other texts apart
-    tagged = docs.select("doc_id", text_or_empty("text").alias("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 15)).alias("tag"))
-    long = tagged.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST))
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    digits = long.mapInArrow(_runs(False), f"digit bigint, doc_id {kind}")
-    several = _held_by_several(digits, ["digit"], scratch, "digits")
-    scratch.free_shuffles()
-    runs = long.mapInArrow(_runs(True), f"digit bigint, doc_id {kind}, content bigint, at bigint")
-    runs = scratch.cut(runs.join(several, "digit").select("digit", "lo", "content", "doc_id", "at"), "runs")
-    scratch.drop(several)
-    scratch.free_shuffles()
-
-    equal = _held_by_several(runs.select("digit", "content", "doc_id"), ["digit", "content"], scratch, "equal-runs")
-    scratch.free_shuffles()
-    both = runs.join(equal.withColumnRenamed("lo", "first"), ["digit", "content"], "left")
-    both = scratch.cut(both.select("digit", "doc_id", "at", (F.col("doc_id") > F.col("lo")).alias("later"), F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("done")), "judged")
-    scratch.drop(runs, equal)
-    scratch.free_shuffles()
-    done = both.where("done").select("doc_id", "at")
-    # digits with a later run that isn't done: all their runs that are no copies of earlier ones go to the last pass
-    open_ = scratch.cut(both.where("later and not done").select("digit").distinct(), "open-digits")
-    marked = F.when(F.col("later"), F.col("at") + OPEN).otherwise(F.col("at")).alias("at")
-    rest = both.where("not done").join(open_, "digit").select("doc_id", marked)
-    per_doc = rest.groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list("at").alias("ats"))
-    texts = scratch.cut(tagged.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "ats"), "open-texts")
-    scratch.free_shuffles()
-    windows = f"digit bigint, window bigint, doc_id {kind}"
-    twice = _held_by_several(texts.mapInArrow(_windows(False), windows), ["digit", "window"], scratch, "equal-windows")
-    scratch.free_shuffles()
-    found = texts.mapInArrow(_windows(True), windows + ", at bigint").join(twice, ["digit", "window"]).where("doc_id > lo").select("doc_id", "at")
-    gone = done.union(found).groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list("at").alias("ats"))
-    gone = scratch.cut(gone, "gone")
-    scratch.drop(texts, both, open_, twice)
-    scratch.free_shuffles()
-    out = tagged.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "ats")
+    texts, keys = docs.select("doc_id", text_or_empty("text").alias("text")), ["doc_id"]
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # rows that repeat a doc_id are told apart by 128 bits of their texts
+        texts, keys = texts.withColumn("own", F.unhex(F.md5(F.col("text").cast("binary")))), ["doc_id", "own"]
+    long = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST))
+
+    stretch = ["digit", "content", "at"]
+    light = _mapped(long, ["doc_id"], _run_grams, ["digit"], given=False, whole=False)
+    done, open_runs = _sifted(light, _mapped(long, keys, _run_rows, stretch, given=False), keys, scratch, "runs")
+    held = scratch.cut(_with_stretches(long, open_runs, keys), "open-texts")
+
+    blocks = scratch.cut(_mapped(held, keys, _block_rows, stretch), "blocks")
+    done_blocks, open_blocks = _sifted(blocks, blocks, keys, scratch, "blocks")
+    last = scratch.cut(_with_stretches(held, open_blocks, keys), "last-texts")
+    scratch.drop(held, blocks)
+
+    prefixes = scratch.cut(_held_by_several(_mapped(last, ["doc_id"], _prefixes, FIRST), FIRST).select(*FIRST, F.monotonically_increasing_id().alias("prefix")), "prefixes")
+    suffixes = _mapped(last, keys, _suffix_rows, [*FIRST, *REST, "at"]).join(prefixes, FIRST).select("prefix", *REST, *keys, "at")
+    suffixes = scratch.cut(suffixes, "suffixes")
+    scratch.drop(last, prefixes)
+    equal = scratch.cut(_held_by_several(suffixes, ["prefix", *REST]), "equal")
+    found = suffixes.join(equal, ["prefix", *REST]).where("doc_id > lo").select(*keys, "at")
+
+    gone = scratch.cut(done.union(done_blocks).union(found), "gone")
+    out = _with_stretches(texts, gone, keys, "left").select("doc_id", "text", "ats")
     return out.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

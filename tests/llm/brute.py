@@ -79,20 +79,25 @@ def sources_targets(sizes):
 
 def repeats(rows):
     """{doc_id: (n_bytes, n_removed, n_spans, kept_sha256)} for (doc_id, text)."""
+    return {r[0]: r[1:] for r in repeats_of_rows(rows)}
+
+
+def repeats_of_rows(rows):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept_sha256)], ids repeated or null; a null id is neither earlier nor later."""
     least = {}
     data = [(i, (t or "").encode()) for i, t in rows]
     for i, b in data:
-        for k in range(len(b) - 49):
+        for k in range(len(b) - 49 if i is not None else 0):
             g = b[k : k + 50]
             least[g] = min(least.get(g, i), i)
-    out = {}
+    out = []
     for i, b in data:
         gone = bytearray(len(b))
-        for k in range(len(b) - 49):
+        for k in range(len(b) - 49 if i is not None else 0):
             if least[b[k : k + 50]] < i:
                 gone[k : k + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
 
 

@@ -109,6 +109,19 @@ def test_repeats_in_random_bytes(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.repeats(rows)
 
 
+def test_repeats_of_ids_that_repeat_and_null_ids(spark):
+    rng = random.Random(11)
+    passage = " ".join(words(rng, 20))
+    other = " ".join(words(rng, 20))
+    rows = [(7, f"{'x' * (i % 9)}{passage} {i}" + f" {other}" * (i % 2)) for i in range(700)]
+    rows += [(3, "say " + passage), (9, other + passage), (9, other + passage), (None, passage * 2), (None, None), (5, None), (1, "ab" * 200), (2, "ab" * 120 + "c" + "ab" * 90)]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), Scratch(spark, "t"))
+    got = Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
+    assert got == Counter(brute.repeats_of_rows(rows))
+    named = repeats.without_repeats(spark.createDataFrame([("a", passage), ("b", passage), ("b", "short")], "doc_id string, text string"), Scratch(spark, "t"))
+    assert {(r["doc_id"], r["n_removed"]) for r in named.collect()} == {("a", 0), ("b", len(passage)), ("b", 0)}
+
+
 TRICKY = [
     "a@b.c_d@e.f x.y@z", "mail me: jo.e+x@mail.example.com, or not@here", "1.2.3.4.5.6.7.8 256.1.1.1 010.0.0.001 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "4111111111111111 4111 1111 1111 1111", "+1 (456) 555-2186 +44.20.7946.0958 +12 +123456789012345678", "é@é.com ü+1 23 45 67 89", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0" * 3, "@" * 50 + "9" * 5000, "x" * 5000 + "@", "a@b-.c. 1.1.1.1@x.y",
