@@ -6,7 +6,7 @@ one document holds leave; groups that are equal to the end are exactly the repea
 
 Most suffixes are settled before that, by two passes over stretches of neighbouring ones, so that a row stands for many:
 
-1. a window's anchor is the place of its least gram of 20 bytes (the least 32 bits of hash, the leftmost of equals), a run is the
+1. a window's anchor is the place of its least gram of 20 bytes (the least in 32 bits of hash, the leftmost of equals), a run is the
    windows of one anchor, 16 in the mean.  Equal windows have equal grams at their anchors, so runs whose gram one document alone
    holds leave.  A run that stands whole in an earlier document is done;
 2. runs that are still open are cut in blocks of up to 8 windows by their distance to the anchor.  Equal windows lie in equal
@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, byte_runs, table, text_or_empty
 
 LEAST = 50
-GRAM = 20  # 16 and a power of two
+GRAM = 20
 BLOCK = 8
 SHARED = LEAST - BLOCK + 1  # bytes that all windows of a block have
-CHUNK = 1 << 19
+CHUNK = 1 << 16  # numpy steps over texts of so many bytes stay in a core's cache
 
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _29, _32 = np.uint64(29), np.uint64(32)
-_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_BYTE = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64)
+_LOW = np.uint64(0xFFFFFFFF)
+_ODD, _ODD_2, _15 = np.uint32(0x9E3779B9), np.uint32(0x85EBCA6B), np.uint32(15)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,143 +55,128 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-class Windows:
-    """All windows of some texts laid end to end; only starts whose window lies within one text count."""
+class Texts:
+    """Some texts laid end to end, and their windows."""
 
-    def __init__(self, texts: list[bytes], whole: bool = True):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.at = np.cumsum([0, *sizes])
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.at = np.cumsum([0, *self.sizes])
         self.joined = np.frombuffer(b"".join(texts), np.uint8)
-        h = _BYTE[self.joined]
-        n = len(h) - LEAST + 1
+
+    def longs(self, start: np.ndarray, kind: str = "<u8") -> np.ndarray:
+        """The eight bytes from each start."""
+        each = np.ndarray((max(len(self.joined) - 7, 0),), kind, self.joined, strides=(1,))
+        return each[start].astype(kind[1:])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run: its text's number, its first window's start, how far the anchor is from there, its windows less one, its gram's hash."""
+        n = len(self.joined) - LEAST + 1
         if n <= 0:
-            self.starts = np.zeros(0, np.int64)
-            return
-        of, width = {1: h}, 1
-        while width < 16 or whole and width < 32:
-            of[2 * width] = _join(of[width][:-width], of[width][width:])
-            width *= 2
-        rest = GRAM - 16
-        self.grams = _join(of[16][: len(of[rest]) - 16], of[rest][16:])
-        if whole:
-            self.of_32 = of[32]
-            self.window = _join(of[32][:n], of[32][LEAST - 32 : n + LEAST - 32])
-        low, span, wanted = (self.grams & _HIGH) | np.arange(len(self.grams), dtype=np.uint64), 1, LEAST - GRAM + 1
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, none.view(np.uint64)
+        of_4 = np.ndarray((len(self.joined) - 3,), "<u4", self.joined, strides=(1,)) * _ODD
+        of_4 ^= of_4 >> _15
+        of_8 = of_4[:-4] * _ODD + of_4[4:]
+        of_16 = of_8[:-8] * _ODD_2 + of_8[8:]
+        gram = of_16[: len(of_4) - 16] * _ODD + of_4[16:]
+        gram ^= gram >> _15
+        gram *= _ODD_2
+        low, span, wanted = gram.astype(np.uint64) << _32 | np.arange(len(gram), dtype=np.uint64), 1, LEAST - GRAM + 1
         while 2 * span <= wanted:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        self.anchor = (np.minimum(low[:n], low[wanted - span : n + wanted - span]) & _LOW).astype(np.int64)
-        room = np.maximum(sizes - LEAST + 1, 0)
-        first = np.repeat(self.at[:-1] - np.cumsum([0, *room[:-1]]), room)
-        self.starts = np.arange(int(room.sum())) + first
-        self.text = np.repeat(np.arange(len(texts)), room)
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each run: its text's number, its first window's start in the joined texts, its windows less one."""
-        if not len(self.starts):
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        anchor = self.anchor[self.starts]
-        new = np.ones(len(anchor), bool)
-        new[1:] = anchor[1:] != anchor[:-1]
+        low = np.minimum(low[:n], low[wanted - span : n + wanted - span])
+        # windows of one anchor are neighbours; those that reach over a text's end are runs of their own, and left out
+        new = np.ones(n + 1, bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:n])
+        ends = np.maximum(self.at[1:] - LEAST + 1, self.at[:-1])
+        new[self.at[:-1][self.at[:-1] < n]] = new[ends[ends < n]] = True
         first = np.flatnonzero(new)
-        return self.text[first], self.starts[first], np.diff(np.append(first, len(new))) - 1
+        start, more = first[:-1], np.diff(first) - 1
+        text = np.searchsorted(self.at, start, "right") - 1
+        good = start < ends[text]
+        text, start, more = text[good], start[good], more[good]
+        anchor = (low[start] & _LOW).astype(np.int64)
+        digit = _join(_join(self.longs(anchor), self.longs(anchor + 8)), self.longs(anchor + GRAM - 8))
+        return text, start, anchor - start, more, digit
 
     def content(self, start: np.ndarray, more: np.ndarray) -> np.ndarray:
-        """Of a stretch of windows."""
-        return _join(_join(self.window[start], self.window[start + more]), more.astype(np.uint64))
+        """A hash of all bytes of a stretch of at most 32 windows, and of their number."""
+        h = more.astype(np.uint64)
+        for k in (*range(0, LEAST - 8, 8), LEAST - 8):
+            h = _join(h, self.longs(start + k))
+        for k in (8, 16, 24, 32):
+            h = _join(h, self.longs(start + more + LEAST - k))
+        return h
 
-    def blocks(self, start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The blocks of runs: the run's number, start, windows less one, and the hash of what such a block's windows share."""
-        anchor = self.anchor[start]
-        far = anchor - start
-        near = far - more
-        n = far // BLOCK - near // BLOCK + 1
-        run = np.repeat(np.arange(len(start)), n)
-        block = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + (near // BLOCK)[run]
-        lo, hi = np.maximum(near[run], BLOCK * block), np.minimum(far[run], BLOCK * block + BLOCK - 1)
-        common = anchor[run] - BLOCK * block
-        digit = _join(_join(self.of_32[common], self.of_32[common + SHARED - 32]), block.astype(np.uint64))
-        return run, anchor[run] - hi, hi - lo, digit
 
-    def digits(self, start: np.ndarray, at: int, width: int = 8) -> pa.Array:
-        """The digit of width bytes at a place of each window."""
-        if not len(start):
-            return pa.array([], pa.int64())
-        own = np.zeros((len(start), 8), np.uint8)
-        own[:, 8 - width :] = np.lib.stride_tricks.sliding_window_view(self.joined, width)[start + at]
-        return pa.array(own.view(">i8").ravel().astype(np.int64))
+def _pack(start: np.ndarray, far: np.ndarray | int, more: np.ndarray | int) -> pa.Array:
+    return pa.array((start << 16) | (far << 8) | more)
 
 
-def _pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return (start << 8) | more
-
-
-def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at >> 8, at & 127
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 16, (at >> 8) & 255, at & 255
 
 
 def _ints(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-#: From the windows of some texts, and each text's stretches (text, start in the joined texts, more), to columns and each row's text.
-Rows = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray], tuple[dict[str, pa.Array], np.ndarray]]
+#: From some texts and stretches of their windows (text, start, anchor's distance, windows less one) to columns and each row's text.
+Rows = Callable[[Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[dict[str, pa.Array], np.ndarray]]
 
 
-def _run_grams(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
-    return {"digit": _ints(w.grams[w.anchor[start]])}, text
+def _stretch_rows(t: Texts, text: np.ndarray, start: np.ndarray, far: np.ndarray, more: np.ndarray):
+    return {"content": _ints(t.content(start, more)), "at": _pack(start - t.at[text], far, more)}, text
 
 
-def _run_rows(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
-    return {"digit": _ints(w.grams[w.anchor[start]]), "content": _ints(w.content(start, more)), "at": pa.array(_pack(start - w.at[text], more))}, text
+def _block_rows(t: Texts, text: np.ndarray, start: np.ndarray, far: np.ndarray, more: np.ndarray):
+    anchor, near = start + far, far - more
+    n = far // BLOCK - near // BLOCK + 1
+    run = np.repeat(np.arange(len(start)), n)
+    block = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + (near // BLOCK)[run]
+    lo, hi = np.maximum(near[run], BLOCK * block), np.minimum(far[run], BLOCK * block + BLOCK - 1)
+    common, digit = anchor[run] - BLOCK * block, block.astype(np.uint64)
+    for k in (*range(0, SHARED - 8, 8), SHARED - 8):
+        digit = _join(digit, t.longs(common + k))
+    cols, text = _stretch_rows(t, text[run], anchor[run] - hi, hi, hi - lo)
+    return cols | {"digit": _ints(digit)}, text
 
 
-def _block_rows(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
-    run, lo, more, digit = w.blocks(start, more)
-    text = text[run]
-    return {"digit": _ints(digit), "content": _ints(w.content(lo, more)), "at": pa.array(_pack(lo - w.at[text], more))}, text
+FIRST, REST = ["d0", "d1", "d2"], ["d3", "d4", "d5", "d6"]
 
 
-def _each(start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretch's number and the start of each window of some stretches."""
+def _suffix_rows(t: Texts, text: np.ndarray, start: np.ndarray, far: np.ndarray, more: np.ndarray):
+    """A row for each window: its big-endian digits of eight bytes, the last of two."""
     n = more + 1
     of = np.repeat(np.arange(len(start)), n)
-    return of, start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _prefixes(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
-    of, at = _each(start, more)
-    return {f"d{k}": w.digits(at, 8 * k) for k in range(3)}, text[of]
-
-
-def _suffix_rows(w: Windows, text: np.ndarray, start: np.ndarray, more: np.ndarray):
-    of, at = _each(start, more)
+    at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     text = text[of]
-    cols = {f"d{k}": w.digits(at, 8 * k) for k in range(6)} | {"d6": w.digits(at, 48, 2)}
-    return cols | {"at": pa.array(_pack(at - w.at[text], np.zeros_like(at)))}, text
-
-
-FIRST, REST = ["d0", "d1", "d2"], ["d3", "d4", "d5", "d6"]
+    cols = {f"d{k}": _ints(t.longs(at + 8 * k, ">u8")) for k in range(LEAST // 8)}
+    cols["d6"] = pa.array(t.joined[at + 48].astype(np.int64) * 256 + t.joined[at + 49])
+    return cols | {"at": _pack(at - t.at[text], 0, 0)}, text
 
 
-def _mapped(texts: DataFrame, keys: list[str], rows: Rows, names: list[str], given: bool = True, whole: bool = True) -> DataFrame:
+def _mapped(texts: DataFrame, keys: list[str], rows: Rows | None, names: list[str], given: bool = True) -> DataFrame:
     """texts(keys, text, [ats]) to rows(names, keys): of the stretches that are given, or else of all runs."""
     kinds = {c: texts.schema[c].dataType.simpleString() for c in keys}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, items in byte_runs(batch.column("text"), CHUNK):
-                w = Windows(items, whole)
+                t = Texts(items)
                 if given:
                     ats = batch.column("ats").slice(lo, hi - lo)
                     text = np.repeat(np.arange(hi - lo), np.diff(ats.offsets.to_numpy()))
-                    start, more = _unpack(ats.flatten().to_numpy())
-                    start = start + w.at[text]
+                    start, far, more = _unpack(ats.flatten().to_numpy())
+                    start = start + t.at[text]
                 else:
-                    text, start, more = w.runs()
+                    text, start, far, more, gram = t.runs()
                 for k in range(0, len(text), 1 << 16):
-                    cols, of = rows(w, text[k : k + (1 << 16)], start[k : k + (1 << 16)], more[k : k + (1 << 16)])
+                    part = slice(k, k + (1 << 16))
+                    cols, of = ({}, text[part]) if rows is None else rows(t, text[part], start[part], far[part], more[part])
+                    if not given:
+                        cols["digit"] = _ints(gram[part])
                     own = pa.array(lo + of)
                     yield pa.RecordBatch.from_pydict({c: cols[c] for c in names} | {c: batch.column(c).take(own) for c in keys})
 
@@ -203,7 +188,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, [at] or null) to what is left of each text."""
     for batch in batches:
         ids, gone = batch.column(0), batch.column(2)
-        for lo, hi, items in byte_runs(batch.column(1), 4 * CHUNK):
+        for lo, hi, items in byte_runs(batch.column(1)):
             kept, removed, spans = [], [], []
             for t, at in zip(items, gone.slice(lo, hi - lo), strict=True):
                 if not at.is_valid:
@@ -211,7 +196,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     removed.append(0)
                     spans.append(0)
                     continue
-                start, more = _unpack(at.values.to_numpy())
+                start, _, more = _unpack(at.values.to_numpy())
                 edge = np.bincount(start, minlength=len(t) + 1) - np.bincount(start + more + LEAST, minlength=len(t) + 1)
                 stays = np.cumsum(edge)[:-1] == 0
                 kept.append(np.frombuffer(t, np.uint8)[stays].tobytes())
@@ -259,8 +244,8 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     long = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST))
 
     stretch = ["digit", "content", "at"]
-    light = _mapped(long, ["doc_id"], _run_grams, ["digit"], given=False, whole=False)
-    done, open_runs = _sifted(light, _mapped(long, keys, _run_rows, stretch, given=False), keys, scratch, "runs")
+    light = _mapped(long, ["doc_id"], None, ["digit"], given=False)
+    done, open_runs = _sifted(light, _mapped(long, keys, _stretch_rows, stretch, given=False), keys, scratch, "runs")
     held = scratch.cut(_with_stretches(long, open_runs, keys), "open-texts")
 
     blocks = scratch.cut(_mapped(held, keys, _block_rows, stretch), "blocks")
@@ -268,7 +253,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     last = scratch.cut(_with_stretches(held, open_blocks, keys), "last-texts")
     scratch.drop(held, blocks)
 
-    prefixes = scratch.cut(_held_by_several(_mapped(last, ["doc_id"], _prefixes, FIRST), FIRST).select(*FIRST, F.monotonically_increasing_id().alias("prefix")), "prefixes")
+    prefixes = scratch.cut(_held_by_several(_mapped(last, ["doc_id"], _suffix_rows, FIRST), FIRST).select(*FIRST, F.monotonically_increasing_id().alias("prefix")), "prefixes")
     suffixes = _mapped(last, keys, _suffix_rows, [*FIRST, *REST, "at"]).join(prefixes, FIRST).select("prefix", *REST, *keys, "at")
     suffixes = scratch.cut(suffixes, "suffixes")
     scratch.drop(last, prefixes)
