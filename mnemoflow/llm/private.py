@@ -53,49 +53,67 @@ BLOCK, CHARS = 64, 512
 PLACES = "array<struct<start:int,end:int,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _running(values: Column, add: bool = True) -> Column:
     """Of each of the ints, the sum (or else the maximum) of those before it; from 0."""
     op = (lambda a, b: a + b) if add else (lambda a, b: F.greatest(a, b))  # noqa: PLW0108  arguments by position
-    number = F.ceil(F.size(values) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(number - 1, F.lit(0))), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
 
     def scan(of: Column, start: Column) -> Column:
         first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
         step = lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
         return F.aggregate(of, first, step, lambda acc: acc["out"])
 
-    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), op))
-    return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), op))
+        return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
+
+    def in_blocks(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return _let(values, lambda v: _let(in_blocks(v), of_blocks))
 
 
 def _places(text: Column, pattern: str, when: Column | None = None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches; positions in code points."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    if when is not None:
-        matches = F.when(when, matches).otherwise(F.array().cast("array<string>"))
-    # there is a gap more than matches
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    before = _running(F.transform(pairs, lambda p: F.length(p["m"]) + F.length(p["g"])))
 
     def place(p: Column, at: Column) -> Column:
         lo = at + F.length(p["g"])
         return F.struct(lo.alias("start"), (lo + F.length(p["m"])).alias("end"), p["m"].alias("value"))
 
-    return F.when(F.size(matches) > 0, F.zip_with(pairs, before, place)).otherwise(F.array().cast(PLACES))
+    def placed(pairs: Column) -> Column:
+        return F.zip_with(pairs, _running(F.transform(pairs, lambda p: F.length(p["m"]) + F.length(p["g"]))), place)
+
+    def paired(matches: Column) -> Column:
+        # there is a gap more than matches
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return F.when(F.size(matches) > 0, _let(pairs, placed)).otherwise(F.array().cast(PLACES))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if when is not None:
+        found = F.when(when, found).otherwise(F.array().cast("array<string>"))
+    return _let(found, paired)
 
 
 def _assembled(text: Column, spans: Column, instead: Callable[[Column, Column], Column]) -> Column:
     """The text with each span (sorted by start) replaced; one that overlaps those before it stands under the first's name."""
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
 
-    def piece(lo: Column, hi: Column) -> Column:
-        first = F.floor(lo / CHARS).cast("int")
-        some = F.slice(blocks, first + 1, F.floor((hi - 1) / CHARS).cast("int") - first + 1)
-        return F.when(hi > lo, F.substring(F.array_join(some, ""), lo - first * CHARS + 1, hi - lo)).otherwise(F.lit(""))
+    def whole(blocks: Column) -> Column:
+        def piece(lo: Column, hi: Column) -> Column:
+            first = F.floor(lo / CHARS).cast("int")
+            some = F.slice(blocks, first + 1, F.floor((hi - 1) / CHARS).cast("int") - first + 1)
+            return F.when(hi > lo, F.substring(F.array_join(some, ""), lo - first * CHARS + 1, hi - lo)).otherwise(F.lit(""))
+
+        before = _running(F.transform(spans, lambda s: s["end"]), add=False)
+        parts = F.zip_with(spans, before, lambda s, at: F.concat(piece(at, s["start"]), instead(s, at)))
+        return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    before = _running(F.transform(spans, lambda s: s["end"]), add=False)
-    parts = F.zip_with(spans, before, lambda s, at: F.concat(piece(at, s["start"]), instead(s, at)))
-    return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)), whole)
 
 
 def _digits(v: Column) -> Column:
