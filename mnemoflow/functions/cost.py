@@ -25,6 +25,16 @@ def delay(attempt: int, cap: float = STORE_CAP) -> float:
     return min(BASE_DELAY * 2 ** (attempt - 1), cap)
 
 
+def wait(message: str, status: int | None, attempt: int, cap: float, jitter: float) -> float:
+    """Seconds before the next attempt after a failure; jitter from 0.8 to 1.2.
+
+    A rate limit met while answering waits up to RATE_CAP without jitter; all else, server errors and empty answers
+    among it, backs off to the cap with jitter.
+    """
+    limited = "Rate limit" in message or "429" in message or status == 429
+    return delay(attempt, RATE_CAP) if limited and cap == ANSWER_CAP else delay(attempt, cap) * jitter
+
+
 def is_rate_limit(message: Column) -> Column:
     return F.contains(message, F.lit("Rate limit")) | F.contains(message, F.lit("429"))
 

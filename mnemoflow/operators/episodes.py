@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .dedup import STORED, episodes_kept
+from .turns import rendered
 
+#: The fields of a tagged text, in order.
 FIELDS = ("user_summary", "agent_summary", "outcome", "location", "reflection")
 #: The marks of an episode's lines, in order.
 MARKS = ("[USER INPUT]", "[AGENT OUTPUT]", "[OUTCOME]", "[LOCATION]", "[REFLECTION]")
@@ -73,8 +75,18 @@ def read_back(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def history(fields: Column) -> Column:
     """The prompt lines of one memory: what the user said, what the agent answered and what came of it."""
+    user, agent = _parts(fields)
+    return F.concat_ws("\n", rendered(F.lit("user"), user), rendered(F.lit("assistant"), agent))
+
+
+def _parts(fields: Column) -> tuple[Column, Column]:
+    """The user's part of one memory, and the agent's with what came of it; null where there is none."""
     v = lambda m: F.try_element_at(fields, F.lit(m))
     more = lambda label, m: F.when(F.coalesce(v(m), F.lit("")) != "", F.concat(F.lit(f"{label}: "), v(m)))
-    user = F.concat(F.lit("User: "), v(MARKS[0]))
-    agent = F.when(v(MARKS[1]).isNotNull(), F.concat_ws("\n", F.concat(F.lit("Assistant: "), v(MARKS[1])), more("Outcome", MARKS[2]), more("Location", MARKS[3]), more("Reflection", MARKS[4])))
-    return F.concat_ws("\n", user, agent)
+    agent = F.concat_ws("\n", v(MARKS[1]), more("Outcome", MARKS[2]), more("Location", MARKS[3]), more("Reflection", MARKS[4]))
+    return v(MARKS[0]), F.when(v(MARKS[1]).isNotNull(), agent)
+
+
+def said(fields: Column) -> Column:
+    """Both parts of one memory without their speakers; what a query's tokens are counted of."""
+    return F.concat_ws(" ", *_parts(fields))

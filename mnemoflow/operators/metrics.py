@@ -11,15 +11,20 @@ PARTS = ("input_tokens", "output_tokens", "cost", "time")
 
 
 def records(df: DataFrame) -> DataFrame:
-    """The result columns from question_id, hypothesis, and memory_ and query_ tokens and times; an error where the hypothesis is one."""
+    """The result columns from question_id, hypothesis, and memory_ and query_ tokens and times.
+
+    error: the hypothesis where it is one, or else the failure (and its traceback) of a call that was answered by the apology.
+    """
+    absent = [F.lit(None).cast("string").alias(c) for c in ("failure", "failure_trace") if c not in df.columns]
+    df = df.select("*", *absent)
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind)
-    df = df.select("question_id", "hypothesis", *[zero(f"{side}_{p}", "double" if p == "time" else "bigint").alias(f"{side}_{p}") for side in ("memory", "query") for p in ("input_tokens", "output_tokens", "time")])
+    df = df.select("question_id", "hypothesis", "failure", "failure_trace", *[zero(f"{side}_{p}", "double" if p == "time" else "bigint").alias(f"{side}_{p}") for side in ("memory", "query") for p in ("input_tokens", "output_tokens", "time")])
     for side in ("memory", "query"):
         df = df.withColumn(f"{side}_cost", cost.cost(F.col(f"{side}_input_tokens"), F.col(f"{side}_output_tokens")))
     for p in PARTS:
         df = df.withColumn(f"question_{p}", F.col(f"memory_{p}") + F.col(f"query_{p}"))
-    error = F.when(F.startswith("hypothesis", F.lit("Error:")), F.col("hypothesis"))
-    return df.select("question_id", "hypothesis", *[f"{side}_{p}" for side in ("memory", "query", "question") for p in PARTS], error.alias("error"))
+    error = F.when(F.startswith("hypothesis", F.lit("Error:")), F.col("hypothesis")).otherwise(F.col("failure"))
+    return df.select("question_id", "hypothesis", *[f"{side}_{p}" for side in ("memory", "query", "question") for p in PARTS], error.alias("error"), F.col("failure_trace").alias("traceback"))
 
 
 def per_owner(df: DataFrame, keys: list[str], seq: str, last_only: bool = False) -> DataFrame:

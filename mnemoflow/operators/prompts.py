@@ -9,7 +9,10 @@ EXTRACT = (
     "List each new statement of fact, preference or belief in the segment, one on a line. Leave out what is known already. "
     "If there is none, write NO NEW PROPOSITIONS.\n<known>\n{{ existing }}\n</known>\n<segment>\n{{ segment }}\n</segment>"
 )
-CONDENSE = "Merge these statements into at most {{ most }}, one on a line, keeping what is specific.\n<known>\n{{ existing }}\n</known>"
+CONDENSE = (
+    "Merge these statements into at most {{ most }}, one on a line, keeping what is specific. "
+    "If there is nothing to merge, write NO CONDENSED PROPOSITIONS.\n<known>\n{{ existing }}\n</known>"
+)
 EPISODE = (
     "Summarise the exchange as <results> of <result> tags: the user's part, the agent's part, outcome, location, reflection, then tags.\n"
     "<history>\n{{ history }}\n</history>"
@@ -40,4 +43,4 @@ def answer(question: Column, context: Column) -> Column:
 
 def answer_after_context(question: Column, context: Column, system: str = "You answer from the context where it helps.") -> Column:
     """Context first, below a system line."""
-    return F.concat(F.lit(system + "\nContext:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nUser: "), question, F.lit("\n\nAssistant:"))
+    return F.concat(F.lit(system + "\n\nKnown context (may be empty):\n"), F.coalesce(context, F.lit("")), F.lit("\n\nUser: "), question, F.lit("\nAssistant:"))

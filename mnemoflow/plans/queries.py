@@ -205,22 +205,13 @@ def episodic_overlap_topk(spark, sf_dir):
 
 
 @query(f"""WITH q AS (SELECT item_id, list_distinct({WORDS.format(STRIP.format('text'))}) AS qw FROM benchmark),
-e AS (SELECT doc_id, list_distinct(list_concat({WORDS.format('left(text, 300)')}, regexp_extract_all(lang || ' ' || source, '[\\pL\\pN_]+'))) AS ew, [lang, source] AS tags FROM documents),
+e AS (SELECT doc_id, list_distinct(list_concat({WORDS.format('text')}, regexp_extract_all(lang || ' ' || source, '[\\pL\\pN_]+'))) AS ew, [lang, source] AS tags FROM documents),
 i AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(qw) AS w FROM q) JOIN (SELECT doc_id, unnest(ew) AS w FROM e) USING (w) GROUP BY ALL),
 b AS (SELECT item_id, doc_id, len(list_filter(tags, lambda g: len(list_filter(qw, lambda x: contains(lower(g), x))) > 0)) AS n FROM q, e),
 s AS (SELECT b.item_id, b.doc_id, CAST(coalesce(i.n, 0) + b.n AS BIGINT) AS score FROM b LEFT JOIN i USING (item_id, doc_id))
 SELECT item_id AS query_id, doc_id AS seq, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def episodic_tag_bonus_topk(spark, sf_dir):
-    # an episode's user side is what a store keeps of it, 300 characters
-    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), retrieval.query_words("text").alias("words"))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq"), F.left("text", F.lit(300)).alias("u"), F.array("lang", "source").alias("tags"))
-    e = d.select("seq", retrieval.episode_words("u", F.lit(""), "tags").alias("words"), "tags")
-    return retrieval.best(retrieval.indexed(q, e, [])).select("query_id", "seq", "score", "rank")
-
-
-@query()
-def episodic_tag_bonus_topk_whole(spark, sf_dir):
-    # documents never pass the store, so all of their words count
+    # documents never pass the store, so all words of their texts count
     q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), retrieval.query_words("text").alias("words"))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq"), "text", F.array("lang", "source").alias("tags"))
     e = d.select("seq", retrieval.episode_words("text", F.lit(""), "tags").alias("words"), "tags")
@@ -233,17 +224,9 @@ def episodic_fallback_last5(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c
-FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20) q, embeddings v)
+FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, rank, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")
 def vector_topk_cosine(spark, sf_dir):
-    # a user's twenty questions: the first twenty vectors stand for them
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
-    q = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return vectors.nearest(q, v).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
-
-
-@query()
-def vector_topk_cosine_blocks(spark, sf_dir):
     # every twentieth vector against all, as many as the table has
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
@@ -354,6 +337,8 @@ def message_entries(spark, sf_dir):
 def _streamed(spark: SparkSession, df: DataFrame, build, mode: str) -> DataFrame:
     """Runs df as a file stream of several micro-batches through build, and reads what the sink holds."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = f"{base}/mnemoflow-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="mnemoflow-")
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,10 @@ from ..sources import tables
 from .agents import STRATEGIES, Strategy, answered
 
 
-def results(instances: DataFrame, strategy: Strategy, factory: Callable[[], Completer] = Extractive, attempts: int = 1) -> DataFrame:
-    """A result record for each instance."""
+def results(instances: DataFrame, strategy: Strategy, factory: Callable[[], Completer] = Extractive, attempts: int = 1, parallel: int | None = None, count: Callable[[str], int] | None = None) -> DataFrame:
+    """A result record for each instance; failed calls have an error and a traceback."""
     questions = instances.select("question_id", "question")
-    asked = strategy(tables.turns(instances), questions)
-    timed = answered(asked, factory, attempts).withColumns({"memory_time": F.lit(0.0), "query_time": F.lit(0.0)})
-    return metrics.records(timed)
+    return metrics.records(answered(strategy(tables.turns(instances), questions), factory, attempts, parallel=parallel, count=count))
 
 
 def evaluate(
@@ -34,23 +33,25 @@ def evaluate(
     retry_errors: bool = False,
     lines: bool = False,
     attempts: int = 8,
+    count_tokens: Callable[[str], int] | None = None,
 ) -> DataFrame:
     """Runs the instances at positions first and on that have no result yet, appends theirs, and returns the run's summary.
 
-    first == 0 starts the output anew.  parallel bounds how many tasks call the model at once.  Results are written before they
+    first == 0 starts the output anew.  parallel bounds how many tasks ask the model at once,
+    a call at a time each.  Results are written before they
     are summed, so no call is made twice.
     """
     began = time.time()
     todo = tables.instances(spark, dataset, lines, first, count)
     if first:
         todo = tables.remaining(todo, tables.completed_ids(spark, output, retry_errors))
-    if parallel:
-        todo = todo.repartition(parallel, "question_id")
     plan = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-    batch = results(todo, plan, factory, attempts)
+    batch = results(todo, plan, factory, attempts, parallel, count_tokens)
     own = batch.withColumn("run", F.lit(int(began * 1000)))
     tables.write_results(own, output, append=first > 0)
     done = spark.read.schema(tables.RESULT + ", run bigint").json(output).where(F.col("run") == int(began * 1000))
+    if metrics.consistent(done).limit(1).count():
+        warnings.warn("overall input tokens are not memory's and query's together", stacklevel=2)
     out = metrics.summary(done, time.time() - began)
     tables.write_summary(out, output.rstrip("/").rpartition("/")[0] or ".")
     return out

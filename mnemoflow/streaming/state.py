@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,7 +52,7 @@ class TokenBuffer(StatefulProcessor):
             self.entries.updateValue((seq,), kept[seq])
         if mark >= 0:
             self.dropped.update((mark,))
-        yield pd.DataFrame({self.key: [key[0]], "n": [len(kept)], "memory": ["\n".join(kept[s][1] for s in sorted(kept))]})
+        yield pd.DataFrame({self.key: [key[0]], "n": [len(kept)], "memory": ["\n".join(kept[s][1] for s in sorted(kept) if kept[s][1] is not None)]})
 
     def close(self) -> None: ...
 
@@ -101,13 +102,31 @@ def distinct_values(stream: DataFrame, keys: list[str], time: str | None = None,
     return stream.withWatermark(time, delay or "1 hour").dropDuplicatesWithinWatermark(keys)
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str, id_column: str = "question_id"):
-    """Appends each id once as JSON lines: a batch is written to a folder of its number, so a replay overwrites itself."""
+def append_once(stream: DataFrame, path: str, checkpoint: str, id_column: str = "question_id", time: str | None = None, delay: str | None = None):
+    """Appends each id once as JSON lines: the state knows the ids of earlier batches, and a batch is written to a folder of its number, so a
+    replay overwrites itself.  With a time and delay, ids older than the watermark are forgotten."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([id_column]).write.mode("overwrite").json(f"{path}/batch={number:08d}")
+        batch.write.mode("overwrite").json(f"{path}/batch={number:08d}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return distinct_values(stream, [id_column], time, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+class Progress(StreamingQueryListener):
+    """Tells of every n-th micro-batch: its number and its rows."""
+
+    def __init__(self, every: int = 5, tell: Callable[[str], None] = print):
+        self.every, self.tell = every, tell
+
+    def onQueryStarted(self, event) -> None: ...  # noqa: N802  Spark's names
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.batchId % self.every == 0:
+            self.tell(f"batch {event.progress.batchId}: {event.progress.numInputRows} rows")
+
+    def onQueryIdle(self, event) -> None: ...  # noqa: N802
+
+    def onQueryTerminated(self, event) -> None: ...  # noqa: N802
 
 
 def latest(updates: DataFrame, key: str, order: str) -> DataFrame:
