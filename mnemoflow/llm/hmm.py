@@ -9,9 +9,9 @@ What is broadcast is the states' tables, STATES * (CLASSES + 1) numbers at any c
 counts is never bounded nor gathered, it stays a table.  The texts are read once and packed in blocks of about 4 MB, each
 with its own distinct words; counts are summed over the blocks' words, and each block pulls those of its own words back.
 
-Training cuts texts into pieces of PIECE words, each starting from pi; every round sums the expected counts of all
-pieces by partial aggregation.  Scoring is the exact scaled forward recursion over whole texts: step by step for
-all short texts at once, and by products of the pieces' transfer matrices for long ones.
+Every round sums the expected counts of whole texts by partial aggregation.  Long texts are worked on in pieces of PIECE
+words at once; the products of the pieces' transfer matrices carry the forward and backward weights over the cuts, so nothing is
+lost there.  Scoring is the exact scaled forward recursion over whole texts, by the same products for long ones.
 
 Defined cases: null text counts as empty; an empty text is the end alone; repeated rows each train and have their own result; a null
 doc_id is hashed as the empty text; an empty table gives an empty result; without training rows every count is 0.
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, byte_runs, crc_mod, table
 
 STATES, CLASSES = 6, 4096
-PIECE, ROUNDS = 256, 5
+#: Texts of more than SHORT words are worked on in pieces of PIECE.
+SHORT, PIECE, ROUNDS = 1024, 512, 5
 BLOCK_BYTES = 4 << 20
+BLOCKS_A_TASK = 4
 ALPHA = 0.1
 END = CLASSES
 LOG10 = np.log(10.0)
@@ -65,14 +67,86 @@ class Model:
         return Model(pi / pi.sum(), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0))
 
 
-def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 1024) -> np.ndarray:
-    """Baum-Welch expected counts of pi, a and b, flat, over pieces of classes (none empty)."""
+def transfers(m: Model, parts: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Of each part the product of a * b[class] over its steps, scaled, and the log of its scale; worked out in the kind of numbers."""
+    k = len(m.pi)
+    a, b = m.a.astype(kind), m.b.astype(kind)
+    out, logs = np.empty((len(parts), k, k)), np.zeros(len(parts))
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    for lo in range(0, len(order), 1024):
+        group = order[lo : lo + 1024]
+        sizes = np.array([len(parts[i]) for i in group])
+        obs = np.zeros((int(sizes[0]), len(group)), np.int64)
+        for j, i in enumerate(group):
+            obs[: sizes[j], j] = parts[i]
+        prod, scale = np.broadcast_to(np.eye(k, dtype=kind), (len(group), k, k)).copy(), np.zeros(len(group))
+        for t in range(len(obs)):
+            n = int(np.searchsorted(-sizes, -t, side="left"))  # parts longer than t
+            new = (prod[:n].reshape(-1, k) @ a).reshape(n, k, k)
+            new *= b[obs[t, :n]][:, None, :]
+            if t % 2 or t + 1 == len(obs) or n < len(group):
+                top = new.reshape(n, -1).max(axis=1)
+                scale[:n] += np.log(top)
+                new /= top[:, None, None]
+            prod[:n] = new
+        out[group], logs[group] = prod, scale
+    return out, logs
+
+
+@dataclass
+class Pieces:
+    """Texts cut for parallel work, with what the cuts would lose: the states' weights before each piece, and behind it."""
+
+    parts: list[np.ndarray]
+    first: np.ndarray
+    before: np.ndarray
+    behind: np.ndarray
+    #: By text, the natural log of its probability up to its last piece.
+    logs: dict[int, float]
+
+
+def pieces(m: Model, texts: list[np.ndarray], short: int, piece: int, kind: type = np.float64) -> Pieces:
+    """Texts (none empty) of over short classes in pieces; those before and behind a piece reach it through their products."""
+    parts, owner, first = [], [], []
+    for i, t in enumerate(texts):
+        cut = [t] if len(t) <= short else [t[j : j + piece] for j in range(0, len(t), piece)]
+        parts += cut
+        owner += [i] * len(cut)
+        first += [True] + [False] * (len(cut) - 1)
+    k, n = len(m.pi), len(parts)
+    before, behind, logs = np.zeros((n, k)), np.ones((n, k)), {}
+    cut = [p for p in range(n) if not first[p] or p + 1 < n and owner[p + 1] == owner[p]]
+    # a text's first piece begins with pi, not with a step from a state before it
+    prod, scale = transfers(m, [parts[p][1:] if first[p] else parts[p] for p in cut], kind) if cut else (np.zeros((0, k, k)), np.zeros(0))
+    state = None
+    for p, t, s in zip(cut, prod, scale, strict=True):
+        if first[p]:
+            state, logs[owner[p]] = m.pi * m.b[parts[p][0]], 0.0
+        else:
+            before[p] = state
+        state = state @ t
+        total = state.sum()
+        logs[owner[p]] += np.log(total) + s
+        state = state / total
+    for at in range(len(cut) - 2, -1, -1):
+        p, q = cut[at], cut[at + 1]
+        if owner[p] == owner[q]:
+            behind[p] = prod[at + 1] @ behind[q]
+            behind[p] /= behind[p].max()
+    return Pieces(parts, np.array(first, bool), before, behind, logs)
+
+
+def expected_counts(m: Model, texts: list[np.ndarray], batch: int = 1024, short: int = SHORT, piece: int = PIECE) -> np.ndarray:
+    """Baum-Welch expected counts of pi, a and b, flat, over whole texts of classes (none empty)."""
     k = len(m.pi)
     pi_n, a_n, b_n = np.zeros(k), np.zeros((k, k)), np.zeros((len(m.b), k))
-    order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+    cut = pieces(m, texts, short, piece, np.float32)
+    order = np.array(sorted(range(len(cut.parts)), key=lambda i: -len(cut.parts[i])), np.int64)
     a, b = m.a.astype(np.float32), m.b.astype(np.float32)
     for lo in range(0, len(order), batch):
-        part = [pieces[i] for i in order[lo : lo + batch]]
+        own = order[lo : lo + batch]
+        part = [cut.parts[i] for i in own]
+        first, before, behind = cut.first[own], cut.before[own].astype(np.float32), cut.behind[own].astype(np.float32)
         sizes = np.array([len(p) for p in part])
         steps = int(sizes[0])
         obs = np.zeros((steps, len(part)), np.int64)
@@ -81,7 +155,7 @@ def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 1024) -> np
         live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(steps)]  # pieces longer than t
         alpha = np.zeros((steps, len(part), k), np.float32)
         scale = np.ones((steps, len(part), 1), np.float32)
-        now = m.pi.astype(np.float32) * b[obs[0]]
+        now = np.where(first[:, None], m.pi.astype(np.float32), before @ a) * b[obs[0]]
         for t in range(steps):
             n = live[t]
             if t:
@@ -89,7 +163,8 @@ def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 1024) -> np
             s = now[:n].sum(axis=1, keepdims=True)
             scale[t, :n] = s
             alpha[t, :n] = now[:n] / s
-        beta = np.ones((len(part), k), np.float32)
+        # behind each piece's end, so that weights before and behind multiply to 1
+        beta = behind / (alpha[sizes - 1, np.arange(len(part))] * behind).sum(axis=1, keepdims=True)
         xi = np.zeros((k, k), np.float64)
         for t in range(steps - 1, 0, -1):
             n = live[t]
@@ -97,9 +172,10 @@ def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 1024) -> np
             xi += alpha[t - 1, :n].T @ x
             alpha[t, :n] *= beta[:n]  # now the posterior
             beta[:n] = x @ a.T
+        xi += before.T @ (b[obs[0]] * beta / scale[0])  # the step into a piece; before is 0 at a text's start
         alpha[0] *= beta
         a_n += xi * m.a
-        pi_n += alpha[0].sum(axis=0)
+        pi_n += alpha[0][first].sum(axis=0)
         mask = np.arange(steps)[:, None] < sizes[None, :]
         seen, gamma = obs[mask], alpha[mask]
         gamma /= gamma.sum(axis=1, keepdims=True)
@@ -108,10 +184,9 @@ def expected_counts(m: Model, pieces: list[np.ndarray], batch: int = 1024) -> np
     return np.concatenate([pi_n, a_n.ravel(), b_n.ravel()])
 
 
-def log_likelihood(m: Model, texts: list[np.ndarray], short: int = 512, piece: int = PIECE) -> np.ndarray:
+def log_likelihood(m: Model, texts: list[np.ndarray], short: int = SHORT, piece: int = PIECE) -> np.ndarray:
     """Natural log of the probability of each sequence of classes (none empty), by the scaled forward recursion."""
     out = np.zeros(len(texts))
-    k = len(m.pi)
     sizes = np.array([len(t) for t in texts])
     few = np.flatnonzero(sizes <= short)
     few = few[np.argsort(-sizes[few], kind="stable")]
@@ -130,35 +205,8 @@ def log_likelihood(m: Model, texts: list[np.ndarray], short: int = 512, piece: i
         out[few] = total
     many = np.flatnonzero(sizes > short)
     if len(many):
-        # every piece's product of (a * b[obs]) over its steps; the first piece of a text leaves out its first step
-        parts, owner = [], []
-        for i in many:
-            rest = texts[i][1:]
-            cut = [rest[j : j + piece] for j in range(0, len(rest), piece)]
-            parts += cut
-            owner += [i] * len(cut)
-        for lo in range(0, len(parts), 1024):
-            group, of = parts[lo : lo + 1024], owner[lo : lo + 1024]
-            width = max(map(len, group))
-            obs, on = np.zeros((width, len(group)), np.int64), np.zeros((width, len(group)), bool)
-            for j, p in enumerate(group):
-                obs[: len(p), j], on[: len(p), j] = p, True
-            prod, logs = np.broadcast_to(np.eye(k), (len(group), k, k)).copy(), np.zeros(len(group))
-            for t in range(width):
-                new = (prod.reshape(-1, k) @ m.a).reshape(prod.shape) * m.b[obs[t]][:, None, :]
-                top = new.max(axis=(1, 2))
-                live = on[t]
-                logs[live] += np.log(top[live])
-                prod[live] = (new / top[:, None, None])[live]
-            for j, i in enumerate(of):
-                if lo + j == 0 or owner[lo + j - 1] != i:
-                    state = m.pi * m.b[texts[i][0]]
-                    out[i] = np.log(state.sum())
-                    state = state / state.sum()
-                state = state @ prod[j]
-                s = state.sum()
-                out[i] += np.log(s) + logs[j]
-                state = state / s
+        for j, log in pieces(m, [texts[i] for i in many], short, piece).logs.items():
+            out[many[j]] = log
     return out
 
 
@@ -219,9 +267,8 @@ def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS, states: i
                 for row in _rows(batch):
                     _, _, _, texts = _sequences(row)
                     mine = [t for t, h in zip(texts, row["held"], strict=True) if not h]
-                    cut = [t[j : j + PIECE] for t in mine for j in range(0, len(t), PIECE)]
-                    if cut:
-                        total += expected_counts(m, cut)
+                    if mine:
+                        total += expected_counts(m, mine)
             yield pa.RecordBatch.from_pydict({"slot": pa.array(np.arange(len(total), dtype=np.int32)), "n": pa.array(total)})
 
         return run
@@ -255,7 +302,10 @@ def score(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
 
     asked = blocks.select("block", F.posexplode("vocab").alias("i", "word")).join(counts, "word")
     pulled = scratch.cut(asked.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("pulled")), "pulled")
-    ready = blocks.drop("counts").join(pulled, "block", "left").drop("block")
+    # as many tasks as the blocks need, however many the corpus has
+    tasks = max(1, -(-blocks.count() // BLOCKS_A_TASK))
+    dealt = lambda df: df.repartition(tasks, "block")
+    ready = dealt(blocks.drop("counts")).join(dealt(pulled), "block", "left").drop("block")
     inside = np.log10(class_n + ALPHA * (class_v + 1))
     inside[END] = 0.0  # the end is its class's only token
     every = np.log10(total + ALPHA * (distinct + 1))

@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mnemoflow.llm import boost, bpe, codes, hmm, minhash, mixing, private, quality, repeats, rollups, stats
@@ -271,6 +272,23 @@ def test_expected_counts_by_enumeration():
                 if t:
                     want[2 + q[t - 1] * 2 + q[t]] += w
     assert hmm.expected_counts(m, seqs) == pytest.approx(want, rel=1e-4)
+    assert hmm.expected_counts(m, seqs, short=2, piece=2) == pytest.approx(want, rel=1e-4)  # cuts lose nothing
+    long = [rng.integers(0, 4, n) for n in (900, 3, 520, 700)]
+    assert hmm.expected_counts(m, long, short=512, piece=100) == pytest.approx(hmm.expected_counts(m, long, short=1000), rel=1e-3)
+    for n in (3, 4, 9):
+        one = [rng.integers(0, 4, n)]
+        assert hmm.log_likelihood(m, one, short=2, piece=2) == pytest.approx(hmm.log_likelihood(m, one))
+
+
+def test_likelihood_rises_with_every_round():
+    rng = np.random.default_rng(5)
+    texts = [np.append(rng.permutation(np.repeat([0, 1], 20) if i % 2 else np.repeat([2, 3], 300)), hmm.END) for i in range(60)]
+    shares = np.bincount(np.concatenate(texts), minlength=hmm.CLASSES + 1) / sum(map(len, texts))
+    m, got = hmm.Model.first(shares), []
+    for _ in range(5):
+        got.append(hmm.log_likelihood(m, texts).sum())
+        m = hmm.Model.of(hmm.expected_counts(m, texts))
+    assert all(b > a for a, b in itertools.pairwise(got))
 
 
 def test_hmm_scores(spark, docs, rows, none):
@@ -290,6 +308,35 @@ def test_hmm_scores(spark, docs, rows, none):
     assert hmm.score(none, Scratch(spark, "t"), rounds=1).count() == 0
 
 
+def test_hmm_scores_by_brute_force(spark):
+    """The whole score on repeated rows and a null id: the same rounds over all training texts in one piece, and the words' shares in their classes."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 700), 60))) for i in range(40)] + [(3, "w1 w2"), (3, "w1 w2"), (None, "w3 W4"), (41, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in hmm.score(df, Scratch(spark, "t"), rounds=2).collect())
+    hashed = lambda w: xxhash.xxh3_64_intdigest(w.encode())
+    texts = [[hashed(w) for w in brute.WORD.findall(brute.lower(t))] for _, t in rows]
+    train = [t for (i, _), t in zip(rows, texts, strict=True) if brute.crc(i, 10)]
+    count = Counter(w for t in train for w in t)
+    size, kinds = np.zeros(hmm.CLASSES + 1), np.zeros(hmm.CLASSES + 1)
+    for w, c in count.items():
+        size[w % hmm.CLASSES] += c
+        kinds[w % hmm.CLASSES] += 1
+    size[hmm.END] = len(train)
+    classes = lambda t: np.array([*(w % hmm.CLASSES for w in t), hmm.END])
+    m = hmm.Model.first(size / size.sum())
+    for _ in range(2):
+        m = hmm.Model.of(hmm.expected_counts(m, [classes(t) for t in train], short=10**6))
+    want = Counter()
+    for (i, _), t in zip(rows, texts, strict=True):
+        s = hmm.log_likelihood(m, [classes(t)], short=10**6)[0] / np.log(10)
+        s += sum(np.log10((count[w] + 0.1) / (size[w % hmm.CLASSES] + 0.1 * (kinds[w % hmm.CLASSES] + 1))) for w in t)
+        want[i, len(t) + 1, round(s, 3)] += 1
+    near = lambda c: sorted((str(i), n, s) for (i, n, s), k in c.items() for _ in range(k))
+    for a, b in zip(near(got), near(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=0.02)
+
+
 def test_rules_count_what_the_contract_counts(spark, docs, rows, none):
     out = docs.select("doc_id", quality.rules_udf(None)(F.col("text")).alias("r")).select("doc_id", "r.*").collect()
     for r in out:
