@@ -6,15 +6,16 @@ shingles once, and coordinate k is the minimum of ``_pi`` over the positions shi
 
 How hot groups are handled:
 
-* documents with equal shingle sets collapse into one representative (their smallest doc_id) first;
+* documents with equal shingle sets collapse into one vertex first, and those of a repeated doc_id are joined by edges;
 * a band's bucket links its members only to its smallest one, so candidates grow with the members, not their square;
 * a second round looks at the buckets which still hold members of different components, in blocks, and there compares members across
   components whose signatures agree in 71 places or more (at similarity 0.75 the chance of fewer is 1e-6), exactly and in
   place.  It gives out a link only where that joins two components.  So none is lost for not being to a bucket's smallest member,
   and no task makes all pairs.
 
-Defined cases: null text counts as empty; without words the set is empty, linked with nothing, kept; rows that repeat
-a doc_id are one vertex, and each gets its result; a null doc_id gets a null component and stays.  Only doc_id and text are read.
+Defined cases: null text counts as empty; without words the set is empty and linked with nothing; rows that repeat a doc_id, with equal or
+other texts, are one vertex, and each gets its own set's size and that vertex's component; a null doc_id is linked with nothing, gets
+a null component and stays.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -160,12 +161,12 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that are similar: first by their signatures, then exactly."""
-    pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.where(_equal_places("sig_a", "sig_b") >= LEAST_EQUAL).select("a", "b")
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """Those of pairs(a, b) that are similar: first by their signatures, then exactly.  sigs says where each one's text is."""
+    for end in ("b", "a"):
+        pairs = pairs.join(sigs.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("sig", "rep", "key")]), end)
+    pairs = pairs.where(_equal_places("sig_a", "sig_b") >= LEAST_EQUAL).drop("sig_a", "sig_b")
+    for end in ("b", "a"):
+        pairs = pairs.join(texts.select(*[F.col(c).alias(f"{c}_{end}") for c in ("rep", "key", "text")]), [f"rep_{end}", f"key_{end}"])
     return pairs.where(_similar("text_a", "text_b")).select("a", "b")
 
 
@@ -227,20 +228,28 @@ def _links(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    prepared = scratch.cut(docs.select("doc_id", _prepare()(F.col("text")).alias("p")).select("doc_id", "p.*"), "prepared")
-    sets = scratch.cut(prepared.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "sets")
-    members = scratch.cut(prepared.select("doc_id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("doc_id", "n", "rep"), "members")
-    reps = prepared.join(sets, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("id"), "n", "bands", "sig").dropDuplicates(["id"])
+    key = F.xxhash64(F.col("text")).alias("key")
+    prepared = scratch.cut(docs.select("doc_id", key, _prepare()(F.col("text")).alias("p")).select("doc_id", "key", "p.*"), "prepared")
+    # a vertex is a set; its text is that of one row, of the smallest doc_id
+    rows = prepared.where("d1 is not null and doc_id is not null")
+    sets = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key")).alias("own"))
+    sets = scratch.cut(sets.select("d1", "d2", "own.doc_id", "own.key", F.monotonically_increasing_id().alias("id")).withColumnRenamed("doc_id", "rep"), "sets")
+    held = scratch.cut(rows.select("doc_id", "d1", "d2").join(sets.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id"), "held")
+    reps = rows.join(sets, ["d1", "d2", "key"]).where("doc_id = rep").select("id", "rep", "key", "n", "bands", "sig").dropDuplicates(["id"])
     reps = scratch.cut(reps, "reps")
+    sizes = scratch.cut(prepared.select("doc_id", "n"), "sizes")
     scratch.drop(prepared, sets)
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), key, "text").dropDuplicates(["rep", "key"])
+    # a doc_id is one vertex, whatever texts its rows have
+    several = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    same = scratch.cut(held.join(several, "doc_id").where("id > a").select("a", F.col("id").alias("b")).distinct(), "same-id")
 
     bands = reps.select("id", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     buckets = scratch.cut(buckets.select("band", "lo", "n"), "buckets")
     pairs = bands.join(buckets, "band").where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     pairs = scratch.cut(pairs, "pairs")
-    links = scratch.cut(_verified(pairs, reps, texts).distinct(), "links")
+    links = scratch.cut(_verified(pairs, reps, texts).union(same).distinct(), "links")
     scratch.drop(pairs)
     comps = scratch.cut(components(links, scratch), "components")
 
@@ -255,13 +264,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     inside = inside.select("band", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "lo", "block", "n", "sig", "bands")
     keys = ["band", "k", "i", "j"]
     still = scratch.cut(inside.groupBy(*keys).applyInArrow(_open_rows, inside.schema), "still-open")
-    still = still.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select(*keys, "id", "comp", "lo", "block", "n", "sig", "bands", "text")
+    still = still.join(reps.select("id", "rep", "key"), "id").join(texts, ["rep", "key"]).select(*keys, "id", "comp", "lo", "block", "n", "sig", "bands", "text")
     more_links = scratch.cut(still.groupBy(*keys).applyInArrow(_links, "a bigint, b bigint").distinct(), "more-links")
     if more_links.limit(1).count():
         comps = scratch.cut(components(links.union(more_links), scratch), "components")
 
-    out = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    ends = held.join(comps, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    lowest = scratch.cut(ends.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest")
+    ends = ends.join(lowest, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sizes.join(scratch.cut(ends, "ends"), "doc_id", "left")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

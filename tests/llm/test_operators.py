@@ -76,6 +76,18 @@ def test_links_that_miss_the_smallest(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute.near(rows)
 
 
+def test_ids_with_several_texts_are_one_vertex(spark):
+    rng = random.Random(17)
+    a, b, c = (words(rng, 80, 10**6) for _ in range(3))
+    rows = [(0, b), (1, b), (1, a), (2, [*a[:78], "x", "y"]), (5, c), (6, []), (6, [*c, "z"]), (None, a), (7, ["one"]), (8, ["One"])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(9, None), (0, " ".join(b))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), Scratch(spark, "t")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([
+        (0, 76, 0, True), (0, 76, 0, True), (1, 76, 0, False), (1, 76, 0, False), (2, 76, 0, False), (5, 76, 5, True), (6, 0, 5, False), (6, 77, 5, False),
+        (None, 76, None, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True),
+    ])
+
+
 def test_first_common_band_is_by_whole_keys():
     sig = np.tile(np.random.default_rng(3).integers(0, 2**32, 128, np.uint32), (2, 1))
     sig[1, :4] ^= np.uint32(1 << 16)  # band 0 agrees in the low 16 bits alone, so the pair has no bucket there
