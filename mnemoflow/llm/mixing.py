@@ -77,15 +77,21 @@ def plan(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The training order: docs' columns, a row for each time that a document is taken, range-sorted by time."""
+    """The training order: docs' columns, a row for each time that a document is taken, range-sorted by time.
+
+    Texts move twice, to meet their times and to be sorted; those of rows that are alike in all that the key hashes once more, to be numbered.
+    """
     key, rank, time = (fresh(docs, c) for c in ("row_key", "rank_of_key", "time"))
-    # rows that are alike in all that the key hashes are told apart by their rank, on both sides
-    alike = Window.partitionBy("row_key").orderBy("taken", "times")
-    wanted = plan(docs, scratch).select("row_key", F.row_number().over(alike).alias("r"), "times")
-    wanted = wanted.select(F.col("row_key").alias(key), F.col("r").alias(rank), F.col("times").alias(time))
+    alike = Window.partitionBy("row_key")
+    wanted = plan(docs, scratch).select("row_key", F.row_number().over(alike.orderBy("taken", "times")).alias("r"), F.count("*").over(alike).alias("n"), "times")
+    wanted = wanted.select(F.col("row_key").alias(key), F.col("r").alias(rank), "n", F.col("times").alias(time))
+    wanted = scratch.cut(wanted.where((F.col("n") > 1) | (F.size(time) > 0)), "wanted")
     own = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
-    own = own.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
-    out = own.join(wanted, [key, rank]).withColumn(time, F.explode(time))
+    single = own.join(wanted.where("n = 1").drop("n", rank), key)
+    repeated = own.join(wanted.where("n > 1").select(key).distinct(), key, "left_semi")
+    other = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])  # so that reruns agree
+    repeated = repeated.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(other))).join(wanted.where("n > 1").drop("n"), [key, rank]).drop(rank)
+    out = single.unionByName(repeated).withColumn(time, F.explode(time))
     return out.repartitionByRange(F.col(time), F.col(key)).sortWithinPartitions(time, key).select(*docs.columns)
 
 
