@@ -233,6 +233,40 @@ def vector_topk_cosine(spark, sf_dir):
     return vectors.nearest(q, v).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+#: The SQL writes out so many levels of a tree: 3 ** 12 leaves an owner.
+DEEPEST = 12
+
+
+def _levels_sql() -> str:
+    """l0 to l12 and n, the nodes of all levels up to the depth of the largest owner, as the DataFrame has them."""
+    kid = lambda k: f"any_value(e) FILTER (node % 3 = {k})"
+    part = lambda k: f"any_value(left(text, 80)) FILTER (node % 3 = {k})"
+    mean = "list_transform(k0, lambda x, i: (x + coalesce(k1[i], 0) + coalesce(k2[i], 0)) / n)"
+    out = ["""l0 AS (SELECT CAST(label AS BIGINT) AS owner, CAST(0 AS BIGINT) AS level, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS node,
+    CAST(vec_id AS VARCHAR) AS text, embedding::DOUBLE[] AS e FROM embeddings)""", "d AS (SELECT min(k) AS top FROM range(0, 13) r(k) WHERE pow(3, k) >= (SELECT max(node) + 1 FROM l0))"]
+    for k in range(1, DEEPEST + 1):
+        out.append(
+            f"l{k} AS (SELECT owner, CAST({k} AS BIGINT) AS level, up AS node, concat_ws(' | ', t0, t1, t2) AS text, {mean} AS e FROM (SELECT owner, node // 3 AS up, count(*) AS n, "
+            f"{kid(0)} AS k0, {kid(1)} AS k1, {kid(2)} AS k2, {part(0)} AS t0, {part(1)} AS t1, {part(2)} AS t2 FROM l{k - 1}, d WHERE top >= {k} GROUP BY owner, node // 3))"
+        )
+    return ",\n".join([*out, "n AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(DEEPEST + 1)) + ")"])
+
+
+TREE = _levels_sql()
+ASKED = """q AS (SELECT CAST(label AS BIGINT) AS owner, vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, level, node, list_cosine_similarity(q, e) AS c FROM q JOIN n USING (owner))"""
+
+
+def _path_sql() -> str:
+    """p12 to p0: what each query finds at a level below what it found above."""
+    out = []
+    for k in range(DEEPEST, -1, -1):
+        above = f"LEFT JOIN p{k + 1} a USING (query_id)" if k < DEEPEST else ""
+        below = f"top = {k} OR s.node // 3 = a.node" if k < DEEPEST else f"top = {k}"
+        out.append(f"p{k} AS (SELECT query_id, level, node, c FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.c DESC NULLS LAST, s.node) AS r FROM s {above} CROSS JOIN d WHERE s.level = {k} AND ({below})) WHERE r = 1)")
+    return ",\n".join(out)
+
+
 def _tree(spark, sf_dir):
     leaves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("owner"), "vec_id", F.col("vec_id").cast("string").alias("text"), "embedding")
     return vectors.tree(leaves, ["owner"], "vec_id")
@@ -245,7 +279,7 @@ def tree_levels(spark, sf_dir):
     return _tree(spark, sf_dir).groupBy("owner", "level").agg(F.count("*").alias("nodes"))
 
 
-@query()
+@query(f"WITH {TREE}, {ASKED} SELECT query_id, level, node, rank, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, level, node) AS rank FROM s WHERE c IS NOT NULL) WHERE rank <= 3")
 def tree_collapsed_topk(spark, sf_dir):
     return vectors.collapsed(_tree_questions(spark, sf_dir), _tree(spark, sf_dir), ["owner"]).select("query_id", "level", "node", "rank", F.round("similarity", 6).alias("similarity"))
 
@@ -255,12 +289,13 @@ def _tree_questions(spark, sf_dir):
     return e.where("vec_id % 20 = 0").select(F.col("label").cast("long").alias("owner"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query()
+@query(f"WITH {TREE}, {ASKED}, {_path_sql()} " + " UNION ALL ".join(f"SELECT query_id, level, node, round(c, 6) AS similarity FROM p{k}" for k in range(DEEPEST + 1)))
 def tree_traverse(spark, sf_dir):
     return vectors.traversed(_tree_questions(spark, sf_dir), _tree(spark, sf_dir), ["owner"]).select("query_id", "level", "node", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH {TREE} SELECT owner, concat_ws('/', " + ", ".join(f"CASE WHEN level <= {j} AND {j} <= top THEN lpad(CAST(node // CAST(pow(3, {j} - level) AS BIGINT) AS VARCHAR), 12, '0') END" for j in range(DEEPEST, -1, -1))
+       + f") AS place, repeat('  ', top - level) || '- ' || left({STRIP.format("regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')")}, 80) AS line FROM n, d")
 def tree_printed(spark, sf_dir):
     return vectors.printed(_tree(spark, sf_dir), ["owner"]).select("owner", "place", "line")
 
@@ -383,6 +418,20 @@ def _answers(strategy, **how):
     return run
 
 
+#: The offline answer: of the memory's lines, without their speakers, the first that shares most words with the question.
+ORACLE_SQL["agent_summary"] = f"""WITH {SIZED}, k AS (SELECT * FROM (SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS s FROM z) WHERE s <= {budget.AGENT_LIMIT}),
+m AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS memory FROM k GROUP BY conv_id),
+w AS (SELECT conv_id, CAST(sum(tok) AS BIGINT) AS loaded FROM z GROUP BY conv_id),
+q AS (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+a AS (SELECT conv_id, question, coalesce(memory, '') AS memory, coalesce(loaded, 0) AS loaded FROM q LEFT JOIN m USING (conv_id) LEFT JOIN w USING (conv_id)),
+l AS (SELECT conv_id, question, unnest({LINES.format('memory')}) AS x, generate_subscripts({LINES.format('memory')}, 1) AS i FROM a),
+b AS (SELECT conv_id, question, i, regexp_replace({STRIP.format('x')}, '^(User|Assistant): ', '') AS line FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY len(list_intersect(list_distinct({WORDS.format('question')}), list_distinct({WORDS.format('line')}))) DESC, i) AS r
+    FROM b WHERE line <> '' AND line NOT IN ('Outcome: None', 'Location: None', 'Reflection: None')),
+f AS (SELECT conv_id, coalesce(line, 'I don''t know.') AS said FROM a LEFT JOIN (SELECT conv_id, line FROM c WHERE r = 1) USING (conv_id))
+SELECT CAST(conv_id AS VARCHAR) AS question_id, {STRIP.format('said')} AS hypothesis, loaded AS memory_input_tokens, CAST(0 AS BIGINT) AS memory_output_tokens,
+    CAST(length(question || memory) // 4 AS BIGINT) AS query_input_tokens, CAST(length(said) // 4 AS BIGINT) AS query_output_tokens FROM a JOIN f USING (conv_id)"""
+
 QUERIES["agent_summary"] = _answers(agents.summary_memory)
 QUERIES["agent_reductive"] = _answers(agents.reductive_memory)
 QUERIES["agent_episodic"] = _answers(agents.episodic_memory)
