@@ -5,7 +5,7 @@ smallest xxhash64(doc_id), a documented parameter); scoring covers every row and
 
 Defined cases: null text counts as empty; an empty text has zeros in every statistic (rules: base_failed;
 classifier: scored like any other); repeated rows get equal results; label rows with null id or label are
-ignored; conflicting labels of one id: the smallest counts; an empty table gives an empty result; no labels:
+ignored; conflicting labels of one id: the smallest counts, and of several texts that of smallest hash; an empty table gives an empty result; no labels:
 the rules keep what the base keeps, the classifier scores 0.5; one class only: its share.  Other columns are not read.
 """
 
@@ -50,7 +50,9 @@ def sample_features(docs: DataFrame, labels: DataFrame, max_rows: int, wanted: C
         return pa.array([f.tolist() for _, part in _chunks(texts) for f in part], pa.list_(pa.float64()))
 
     own = docs.select(F.col("doc_id"), F.col("text"))
-    got = own.join(F.broadcast(rows), "doc_id").select("doc_id", "quality", feats("text").alias("f")).dropDuplicates(["doc_id"])
+    got = own.join(F.broadcast(rows), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), feats("text").alias("f"))
+    # of texts that share a doc_id, the one of smallest hash, so that reruns learn the same
+    got = got.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "f")).alias("r")).select("doc_id", "r.quality", "r.f")
     pdf = got.toPandas().sort_values("doc_id")
     if not len(pdf):
         return np.zeros((0, len(stats.FEATURES))), np.zeros(0)

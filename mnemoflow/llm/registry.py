@@ -13,8 +13,7 @@ QUERIES = {
     "op5_personal_data": private.personal_data,
     "op1_hmm_scores": hmm.hmm_scores,
     "op8_token_counts": rollups.token_counts,
-    "op8_token_counts_whole": rollups.token_counts_whole,
     "op10_one_bit_neighbours": codes.one_bit_neighbours,
     "op3_quality_classifier": quality.quality_classifier,
 }
-ORACLE_SQL = {"op4_minhash_near_dedup": minhash.ORACLE, "op8_token_counts": rollups.ORACLE, "op9_suffix_repeats": repeats.ORACLE, "op10_one_bit_neighbours": codes.ORACLE}
+ORACLE_SQL = {"op4_minhash_near_dedup": minhash.ORACLE, "op9_suffix_repeats": repeats.ORACLE, "op10_one_bit_neighbours": codes.ORACLE}

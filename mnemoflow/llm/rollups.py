@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -24,8 +24,8 @@ from .common import Scratch, n_words, table, text_or_empty
 KEY = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
-#: Tokenizer versions: count of tokens in a text.
-TOKENIZERS = {"words-1": n_words, "bytes4-1": lambda t: F.ceil(F.octet_length(t) / 4).cast("long")}
+#: Tokenizer versions: words, and ids of op6's encoder over whole texts.
+WORDS, BPE = "words-1", "byte_bpe_multi_50k-1"
 
 
 class Rollup:
@@ -79,54 +79,27 @@ class Rollup:
 
     def compact(self) -> None:
         """One snapshot of all committed batches; the names are written first, the snapshot's success mark commits both."""
-        names, n = self.committed(), len(self._names("snapshots"))
-        name = f"s{n:06d}"
+        names, last = self.committed(), self._names("snapshots")[-1:]
+        name = f"s{int(last[0][1:]) + 1 if last else 0:06d}"
         self.spark.createDataFrame([(x,) for x in names], "batch string").write.mode("overwrite").parquet(f"{self.root}/names/{name}")
         self.totals().write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
 
-
-def _counts() -> Column:
-    """What each tokenizer makes of the text."""
-    return F.array(*[F.struct(F.lit(name).alias("tokenizer"), f(text_or_empty("text")).alias("n")) for name, f in TOKENIZERS.items()])
-
-
-def inserts(docs: DataFrame) -> DataFrame:
-    """The changes that bring docs in: a row for each document and tokenizer."""
-    rows = docs.select("source", "lang", F.explode(_counts()).alias("t"))
-    return rows.select(F.lit("insert").alias("kind"), "source", "lang", "t.tokenizer", F.col("t.n").alias("tokens"), F.lit(0).cast("long").alias("old_tokens"))
+    def vacuum(self) -> None:
+        """Removes the deltas that the last snapshot holds, and the snapshots before it; for when nobody reads totals of before."""
+        folded, snapshots = set(self._folded()), self._names("snapshots")
+        gone = [f"deltas/{x}" for x in self._names("deltas") if x in folded] + [f"{kind}/{x}" for x in snapshots[:-1] for kind in ("snapshots", "names")]
+        for path in gone:
+            fs, p = self._fs(f"{self.root}/{path}")
+            fs.delete(p, True)
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come in; later exact copies go; the counts of words-1 are revised to hold an end of text; the first batch is replayed."""
-    scratch = Scratch(spark, "op8")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rollup = Rollup(spark, f"{scratch.root}/rollup")
-    rollup.apply("ingest", inserts(docs))
-    digest = F.sha2(text_or_empty("text").cast("binary"), 256).alias("digest")
-    sized = docs.select("doc_id", "lang", "source", digest, _counts().alias("t"))
-    sized = scratch.cut(sized, "sized")
-    first = scratch.cut(sized.groupBy("digest").agg(F.min("doc_id").alias("first")), "first")
-    held = scratch.cut(sized.join(first, "digest").select("lang", "source", "t", (F.col("doc_id") > F.col("first")).alias("copy")), "held")
-    each = held.select("lang", "source", "copy", F.explode("t").alias("x")).select("lang", "source", "copy", "x.tokenizer", F.col("x.n").alias("tokens"))
-    rollup.apply("exact-copies", each.where("copy").withColumns({"kind": F.lit("delete"), "old_tokens": F.lit(0).cast("long")}))
-    stay = each.where("not coalesce(copy, false) and tokenizer = 'words-1'")
-    rollup.apply("count-ends", stay.withColumns({"kind": F.lit("revise"), "old_tokens": F.col("tokens"), "tokens": F.col("tokens") + 1}))
-    rollup.apply("ingest", inserts(docs))
-    rollup.compact()
-    return rollup.totals()
-
-
-#: Tokenizer version: ids of op6's encoder over whole texts.
-BPE = "byte_bpe_multi_50k-1"
-
-
-def token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents, by words and by the ids of op6's encoder.
 
     All documents come in, their ids estimated from their bytes; exact copies go and come back; the estimates are
     revised to the numbers of ids; the first batch is replayed.
     """
-    scratch = Scratch(spark, "op8-whole")
+    scratch = Scratch(spark, "op8")
     text = text_or_empty("text")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", F.sha2(text.cast("binary"), 256).alias("digest"),
@@ -136,7 +109,7 @@ def token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = scratch.cut(counted, "counted")
     first = scratch.cut(counted.groupBy("digest").agg(F.min("doc_id").alias("first")), "first")
     one = lambda name, n, old: F.struct(F.lit(name).alias("tokenizer"), F.col(n).alias("n"), F.col(old).alias("old"))
-    both = F.array(one("words-1", "words", "words"), one(BPE, ids, "guess"))
+    both = F.array(one(WORDS, "words", "words"), one(BPE, ids, "guess"))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")
     held = scratch.cut(counted.join(first, "digest").select("lang", "source", copy, both.alias("t")), "held")
     each = held.select("lang", "source", "copy", F.explode("t").alias("x")).select("lang", "source", "copy", "x.tokenizer", "x.n", "x.old")
@@ -149,19 +122,3 @@ def token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply("ingest", change(each, "insert", "old"))
     rollup.compact()
     return rollup.totals()
-
-
-ORACLE = """
-WITH d AS (
-    SELECT source, lang, coalesce(text, '') AS t,
-           coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy
-    FROM documents
-), n AS (
-    SELECT source, lang, len(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) + 1 AS words,
-           CAST(ceil(strlen(t) / 4.0) AS BIGINT) AS quads
-    FROM d WHERE NOT copy
-)
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS documents, CAST(sum(words) AS BIGINT) AS tokens FROM n GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'bytes4-1', count(*), CAST(sum(quads) AS BIGINT) FROM n GROUP BY source, lang
-"""

@@ -358,6 +358,29 @@ def test_rules_count_what_the_contract_counts(spark, docs, rows, none):
     assert quality.keep_good(none, spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
 
 
+def test_fitted_verdicts_and_scores_are_the_trees_on_each_text(spark, write):
+    """Both queries against the trees asked text by text; repeated ids with other texts, odd and very long texts, no labels, one class."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(words(rng, rng.randrange(40, 160))) + (" $$ ###" * 30 if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(5, rows[7][1]), (5, rows[7][1]), (None, rows[3][1]), (200, None), (201, ""), (202, " ".join(words(rng, 40_000)))]
+    folder = write("documents", rows, "doc_id bigint, text string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for labels in ([(i, int(i % 3 != 0)) for i in range(150)] + [(7, 0), (None, 1), (8, None)], [(i, 1) for i in range(150)], []):
+        write("labels", labels, "doc_id bigint, quality int")
+        own = spark.read.parquet(f"{folder}/labels.parquet")
+        rules, trees = quality.fit_rules(docs, own), quality.fit_classifier(docs, own)
+        want_rules, want_scores = Counter(), Counter()
+        for i, t in rows:
+            f = np.array([stats.describe((t or "").encode())[1]], float)
+            base = brute.rules(t)
+            want_rules[i, base[0], (not base[-1]) and (rules is None or bool(rules.score(f)[0] >= quality.KEEP_AT))] += 1
+            s = float(trees.score(f)[0])
+            want_scores[i, brute.crc(i, 4) == 2, round(s, 9), int(s >= 0.7)] += 1
+        assert Counter((r["doc_id"], r["n_words"], r["kept"]) for r in quality.quality_rules(spark, folder).collect()) == want_rules
+        assert Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in quality.quality_classifier(spark, folder).collect()) == want_scores
+    assert not any(kept for (i, _, kept) in want_rules if i in (200, 201))
+
+
 def test_trees_are_monotone_and_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
@@ -402,7 +425,10 @@ def test_rollups_replay_and_compact(spark, tmp_path):
     assert r.apply("b3", batch(("delete", "z", "en", "v2", 3, 0))) and r.apply("none", batch())
     r.compact()
     assert {tuple(x) for x in r.totals().collect()} == want - {("z", "en", "v2", 1, 3)}
-    (tmp_path / "r/deltas/b4").mkdir()  # a batch that was cut off
+    r.vacuum()
+    assert len(list((tmp_path / "r/snapshots").iterdir())) == 1 and not any((tmp_path / "r/deltas").iterdir())
+    assert not r.apply("b2", first) and {tuple(x) for x in r.totals().collect()} == want - {("z", "en", "v2", 1, 3)}
+    (tmp_path / "r/deltas/b4").mkdir(parents=True)  # a batch that was cut off
     assert r.apply("b4", batch(("insert", "z", "en", "v2", 1, 0)))
 
 
@@ -415,8 +441,10 @@ def test_totals_hold_every_document_by_ids_of_the_encoder(spark, write):
         for name, n in (("words-1", len(brute.WORD.findall(t or ""))), (rollups.BPE, len(enc.encode_ordinary(t or "")))):
             d, k = want.get((source, lang, name), (0, 0))
             want[source, lang, name] = d + 1, k + n
-    got = rollups.token_counts_whole(spark, folder).collect()
+    got = rollups.token_counts(spark, folder).collect()
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+    write("documents", [], "doc_id bigint, text string, lang string, source string")
+    assert rollups.token_counts(spark, folder).count() == 0
 
 
 def test_nearest_vectors(spark):
