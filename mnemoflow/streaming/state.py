@@ -78,13 +78,14 @@ class FirstSeen(StatefulProcessor):
         values, places = [], []
         for pdf in rows:
             for v in pdf.sort_values("seq")[self.value]:
-                if v is not None and not self.seen.containsKey((v,)):
+                if pd.notna(v) and not self.seen.containsKey((v,)):
                     n += 1
                     self.seen.updateValue((v,), (n,))
                     values.append(v)
                     places.append(n)
         self.count.update((n,))
-        yield pd.DataFrame({self.key: [key[0]] * len(values), "nth": places, self.value: values})
+        if values:
+            yield pd.DataFrame({self.key: [key[0]] * len(values), "nth": places, self.value: values})
 
     def close(self) -> None: ...
 
