@@ -1,13 +1,15 @@
 """A hidden Markov language model over words, trained by Baum-Welch on all training texts.
 
-Latent states emit one of CLASSES word classes (the low bits of the word's hash, so a frequent word rules its
-class) or the end, and a class emits its words by their smoothed training counts:
+Latent states emit words, or the end, each by its own expected counts:
 
-    P(text) = sum over state paths of  pi * prod A * prod B(class | state)   times   prod (c(word) + 0.1) / (N_class + 0.1 * (V_class + 1))
+    P(text) = sum over state paths of  pi * prod A * prod B(word | state),   B = (c(word) * share(state | word) + 0.1) / (N_state + 0.1 * (V + 1))
 
-What is broadcast is the states' tables, STATES * (CLASSES + 1) numbers at any corpus size; the vocabulary with its
-counts is never bounded nor gathered, it stays a table.  The texts are read once and packed in blocks of about 4 MB, each
-with its own distinct words; counts are summed over the blocks' words, and each block pulls those of its own words back.
+The first rounds tie the emissions: a state emits one of CLASSES word classes (the low bits of the word's hash), so that a round broadcasts
+and gathers STATES * (CLASSES + 1) numbers at any corpus size.  The last round unties them: it counts every word by state, in a table summed
+by partial aggregation, which grows with the vocabulary and is never bounded nor gathered.  (Inside a class the tied states don't tell words
+apart, so words' own posteriors need nothing but the tied model.)  The texts are read once and packed in blocks of about 4 MB, each
+with its own distinct words; each block pulls the counts and shares of its own words back.  A word's shares are kept in LEVELS steps,
+all states' in one 64-bit number; the N_state are sums of the very same steps, so B stays a distribution.
 
 Every round sums the expected counts of whole texts by partial aggregation.  Long texts are worked on in pieces of PIECE
 words at once; the products of the pieces' transfer matrices carry the forward and backward weights over the cuts, so nothing is
@@ -20,6 +22,7 @@ Word counts are kept under 64-bit hashes of the words (a clash among 10 million
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +30,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_runs, crc_mod, table
 
 STATES, CLASSES = 6, 4096
+#: Steps and bits of a word's share of one state; STATES of them fit in 64 bits.
+LEVELS, BITS = 1023, 10
 #: Texts of more than SHORT words are worked on in pieces of PIECE.
 SHORT, PIECE, ROUNDS = 1024, 512, 5
 BLOCK_BYTES = 4 << 20
@@ -237,12 +242,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq += 1
 
 
-def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """tokens, lens, vocab and each text's classes with the end."""
-    tokens, lens, vocab = np.frombuffer(row["tokens"], np.uint32), row["lens"], row["vocab"]
-    classes = (vocab & (CLASSES - 1))[tokens]
-    end = np.array([END])
-    return tokens, lens, vocab, [np.append(c, end) for c in np.split(classes, np.cumsum(lens)[:-1])]
+def _texts(numbers: np.ndarray, lens: np.ndarray, end: int) -> list[np.ndarray]:
+    """Each text's numbers, then the end."""
+    return [np.append(x, end) for x in np.split(numbers, np.cumsum(lens)[:-1])]
+
+
+def _classes(vocab: np.ndarray) -> np.ndarray:
+    return (vocab & (CLASSES - 1)).astype(np.int64)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -256,16 +262,21 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
-def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """Baum-Welch rounds over all training texts of the blocks."""
+def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> tuple[Model, DataFrame]:
+    """Baum-Welch rounds over all training texts of the blocks: the tied model before the last round, and the last round's counts.
+
+    Those are rows (slot, word, c, n0, n1, ...): slot -1 has a word's training count and expected counts by state, slot 0 those of
+    pi, slots 1 to states the rows of a, and the next one those of the end.
+    """
     model = Model.first(shares, states)
+    columns = [f"n{i}" for i in range(states)]
 
-    def of(m: Model):
+    def tied(m: Model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(states + states * states + (CLASSES + 1) * states)
             for batch in batches:
                 for row in _rows(batch):
-                    _, _, _, texts = _sequences(row)
+                    texts = _texts(_classes(row["vocab"])[np.frombuffer(row["tokens"], np.uint32)], row["lens"], END)
                     mine = [t for t, h in zip(texts, row["held"], strict=True) if not h]
                     if mine:
                         total += expected_counts(m, mine)
@@ -273,13 +284,49 @@ def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS, states: i
 
         return run
 
-    for _ in range(rounds):
-        got = blocks.select("held", "lens", "tokens", "vocab").mapInArrow(of(model), "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n"))
+    def untied(m: Model):
+        def rows(slot: np.ndarray, word: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            cols = {"slot": slot.astype(np.int32), "word": word.astype(np.int64), "c": c.astype(np.int64)}
+            return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (cols | {x: n[:, i].copy() for i, x in enumerate(columns)}).items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((states + 2, states))
+            for batch in batches:
+                for row in _rows(batch):
+                    vocab = row["vocab"]
+                    texts = _texts(np.frombuffer(row["tokens"], np.uint32).astype(np.int64), row["lens"], len(vocab))
+                    mine = [t for t, h in zip(texts, row["held"], strict=True) if not h]
+                    if mine:
+                        flat = expected_counts(Model(m.pi, m.a, m.b[np.append(_classes(vocab), END)]), mine).reshape(-1, states)
+                        total[:-1] += flat[: states + 1]
+                        total[-1] += flat[-1]
+                        seen = np.flatnonzero(row["counts"] > 0)
+                        yield rows(np.full(len(seen), -1), vocab[seen], row["counts"][seen], flat[states + 1 :][seen])
+            own = np.arange(states + 2)
+            yield rows(own, own, own * 0, total)
+
+        return run
+
+    for _ in range(rounds - 1):
+        got = blocks.select("held", "lens", "tokens", "vocab").mapInArrow(tied(model), "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n"))
         flat = np.zeros(states + states * states + (CLASSES + 1) * states)
         for slot, n in got.collect():  # one row for each number of the model, whatever the corpus
             flat[slot] = n
         model = Model.of(flat, states)
-    return model
+    schema = "slot int, word bigint, c bigint, " + ", ".join(f"{x} double" for x in columns)
+    last = blocks.select("held", "lens", "tokens", "vocab", "counts").mapInArrow(untied(model), schema)
+    return model, last.groupBy("slot", "word").agg(F.sum("c").alias("c"), *[F.sum(x).alias(x) for x in columns])
+
+
+def _share(n: str, c: str = "c") -> Column:
+    return F.least(F.round(F.col(n) * LEVELS / F.col(c)), F.lit(float(LEVELS))).cast("long")
+
+
+def emissions(c: np.ndarray, shares: np.ndarray, end: np.ndarray, sizes: np.ndarray, distinct: int) -> np.ndarray:
+    """B of words by their counts and packed shares (0 where unknown), and of the end, last."""
+    k = len(end)
+    steps = (shares[:, None] >> (BITS * np.arange(k))) & LEVELS
+    return (np.vstack([c[:, None] * steps / LEVELS, end]) + ALPHA) / (sizes + ALPHA * (distinct + 1))
 
 
 def score(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -289,40 +336,49 @@ def score(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     schema = f"block bigint, doc_ids array<{kind}>, held array<boolean>, lens array<int>, tokens binary, vocab array<bigint>, counts array<bigint>"
     blocks = scratch.cut(own.mapInArrow(_pack, schema), "blocks")
     pairs = blocks.select(F.explode(F.arrays_zip("vocab", "counts")).alias("w")).where("w.counts > 0")
-    counts = scratch.cut(pairs.groupBy(F.col("w.vocab").alias("word")).agg(F.sum("w.counts").alias("c")), "counts")
-    by_class = counts.groupBy(F.col("word").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    class_n, class_v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for k, n, v in by_class:
-        class_n[k], class_v[k] = n, v
-    ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
-    words_n, words_v = int(class_n.sum()), int(class_v.sum())
+    by_class = pairs.groupBy(F.col("w.vocab").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("w.counts").alias("n")).collect()
+    class_n = np.zeros(CLASSES + 1)
+    for k, n in by_class:  # at most CLASSES rows
+        class_n[k] = n
+    class_n[END] = ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
+    model, counted = train(blocks, class_n / max(class_n.sum(), 1), rounds)
+    counted = scratch.cut(counted, "counts")
+    states = len(model.pi)
+    packed = [F.shiftleft(_share(f"n{i}"), BITS * i) for i in range(states)]
+    counts = counted.where("slot < 0").select("word", "c", functools.reduce(Column.bitwiseOR, packed).alias("shares"))
+    sums = [F.sum(F.col("c") * F.shiftright("shares", BITS * i).bitwiseAND(F.lit(LEVELS))) for i in range(states)]
+    all_words = counts.agg(F.sum("c"), F.count("*"), *sums).first()
+    words_n, words_v, *steps = (x or 0 for x in all_words)
     total, distinct = words_n + ends, words_v + (ends > 0)
-    class_n[END] = ends
-    model = train(blocks, class_n / max(total, 1), rounds)
+    flat = np.zeros((states + 2, states))
+    for r in counted.where("slot >= 0").collect():  # states + 2 rows
+        flat[r["slot"]] = [r[f"n{i}"] for i in range(states)]
+    final, end = Model.of(np.concatenate([flat[: states + 1].ravel(), np.zeros(states)]), states), flat[-1]
+    pi, a, sizes = final.pi, final.a, np.array(steps) / LEVELS + end
 
     asked = blocks.select("block", F.posexplode("vocab").alias("i", "word")).join(counts, "word")
-    pulled = scratch.cut(asked.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("pulled")), "pulled")
+    pulled = scratch.cut(asked.groupBy("block").agg(F.collect_list(F.struct("i", "c", "shares")).alias("pulled")), "pulled")
     # as many tasks as the blocks need, however many the corpus has
     tasks = max(1, -(-blocks.count() // BLOCKS_A_TASK))
     dealt = lambda df: df.repartition(tasks, "block")
     ready = dealt(blocks.drop("counts")).join(dealt(pulled), "block", "left").drop("block")
-    inside = np.log10(class_n + ALPHA * (class_v + 1))
-    inside[END] = 0.0  # the end is its class's only token
     every = np.log10(total + ALPHA * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                tokens, lens, vocab, texts = _sequences(row)
-                c = np.zeros(len(vocab))
+                tokens, lens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64), row["lens"]
+                words = len(row["vocab"])
+                c, shares = np.zeros(words, np.int64), np.zeros(words, np.int64)
                 if row["pulled"] is not None and len(row["pulled"]):
-                    c[row["pulled"].field("i").to_numpy()] = row["pulled"].field("c").to_numpy()
-                logs, inner, known = np.log10(c + ALPHA), inside[vocab & (CLASSES - 1)], (c > 0).astype(np.int64)
+                    i = row["pulled"].field("i").to_numpy()
+                    c[i], shares[i] = row["pulled"].field("c").to_numpy(), row["pulled"].field("shares").to_numpy()
+                logs, known = np.log10(c + ALPHA), (c > 0).astype(np.int64)
                 owner = np.repeat(np.arange(len(lens)), lens)
                 add = lambda v: np.bincount(owner, v[tokens], len(lens))
-                own_logs, n = add(logs), lens.astype(np.int64) + 1
-                base = own_logs + np.log10(ends + ALPHA) - n * every
-                full = log_likelihood(model, texts) / LOG10 + own_logs - add(inner)
+                n = lens.astype(np.int64) + 1
+                base = add(logs) + np.log10(ends + ALPHA) - n * every
+                full = log_likelihood(Model(pi, a, emissions(c, shares, end, sizes, distinct)), _texts(tokens, lens, words)) / LOG10
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": row["doc_ids"], "held_out": pa.array(row["held"]), "n_tokens": pa.array(n), "n_known": pa.array(add(known).astype(np.int64) + (ends > 0)),
                     "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(base), "score": pa.array(full),

@@ -321,7 +321,7 @@ def test_hmm_scores(spark, docs, rows, none):
 
 
 def test_hmm_scores_by_brute_force(spark):
-    """The whole score on repeated rows and a null id: the same rounds over all training texts in one piece, and the words' shares in their classes."""
+    """The whole score on repeated rows and a null id: the same rounds over all training texts in one piece, the last one by words."""
     rng = random.Random(13)
     rows = [(i, " ".join(words(rng, rng.randrange(0, 700), 60))) for i in range(40)] + [(3, "w1 w2"), (3, "w1 w2"), (None, "w3 W4"), (41, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
@@ -330,19 +330,27 @@ def test_hmm_scores_by_brute_force(spark):
     texts = [[hashed(w) for w in brute.WORD.findall(brute.lower(t))] for _, t in rows]
     train = [t for (i, _), t in zip(rows, texts, strict=True) if brute.crc(i, 10)]
     count = Counter(w for t in train for w in t)
-    size, kinds = np.zeros(hmm.CLASSES + 1), np.zeros(hmm.CLASSES + 1)
+    size = np.zeros(hmm.CLASSES + 1)
     for w, c in count.items():
         size[w % hmm.CLASSES] += c
-        kinds[w % hmm.CLASSES] += 1
     size[hmm.END] = len(train)
     classes = lambda t: np.array([*(w % hmm.CLASSES for w in t), hmm.END])
     m = hmm.Model.first(size / size.sum())
-    for _ in range(2):
-        m = hmm.Model.of(hmm.expected_counts(m, [classes(t) for t in train], short=10**6))
+    m = hmm.Model.of(hmm.expected_counts(m, [classes(t) for t in train], short=10**6))
+    number = {w: i for i, w in enumerate(count)}
+    k, v = hmm.STATES, len(number)
+    own = hmm.Model(m.pi, m.a, np.array([m.b[w % hmm.CLASSES] for w in number] + [m.b[hmm.END]]))
+    flat = hmm.expected_counts(own, [np.array([*(number[w] for w in t), v]) for t in train], short=10**6)
+    last = hmm.Model.of(flat)
+    n = flat[k + k * k :].reshape(-1, k)
+    c = np.array([count[w] for w in number])[:, None]
+    n[:-1] = np.floor(n[:-1] * hmm.LEVELS / c + 0.5) * c / hmm.LEVELS
+    b = (np.vstack([n, np.zeros(k)]) + 0.1) / (n.sum(axis=0) + 0.1 * (v + 2))  # words, the end, and any unknown word
+    assert b.sum(axis=0) == pytest.approx(np.ones(k))
+    full = hmm.Model(last.pi, last.a, b)
     want = Counter()
     for (i, _), t in zip(rows, texts, strict=True):
-        s = hmm.log_likelihood(m, [classes(t)], short=10**6)[0] / np.log(10)
-        s += sum(np.log10((count[w] + 0.1) / (size[w % hmm.CLASSES] + 0.1 * (kinds[w % hmm.CLASSES] + 1))) for w in t)
+        s = hmm.log_likelihood(full, [np.array([*(number.get(w, v + 1) for w in t), v])], short=10**6)[0] / np.log(10)
         want[i, len(t) + 1, round(s, 3)] += 1
     near = lambda c: sorted((str(i), n, s) for (i, n, s), k in c.items() for _ in range(k))
     for a, b in zip(near(got), near(want), strict=True):
