@@ -342,22 +342,26 @@ def score(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
         class_n[k] = n
     class_n[END] = ends = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
     model, counted = train(blocks, class_n / max(class_n.sum(), 1), rounds)
-    counted = scratch.cut(counted, "counts")
     states = len(model.pi)
-    packed = [F.shiftleft(_share(f"n{i}"), BITS * i) for i in range(states)]
-    counts = counted.where("slot < 0").select("word", "c", functools.reduce(Column.bitwiseOR, packed).alias("shares"))
+    columns = [f"n{i}" for i in range(states)]
+    packed = functools.reduce(Column.bitwiseOR, [F.shiftleft(_share(x), BITS * i) for i, x in enumerate(columns)])
+    a_word = F.col("slot") < 0
+    kept = counted.select("slot", "word", "c", F.when(a_word, packed).alias("shares"), *[F.when(~a_word, F.col(x)).alias(x) for x in columns])
+    kept = scratch.cut(kept, "counts")
+    counts = kept.where("slot < 0").select("word", "c", "shares")
     sums = [F.sum(F.col("c") * F.shiftright("shares", BITS * i).bitwiseAND(F.lit(LEVELS))) for i in range(states)]
     all_words = counts.agg(F.sum("c"), F.count("*"), *sums).first()
     words_n, words_v, *steps = (x or 0 for x in all_words)
     total, distinct = words_n + ends, words_v + (ends > 0)
     flat = np.zeros((states + 2, states))
-    for r in counted.where("slot >= 0").collect():  # states + 2 rows
-        flat[r["slot"]] = [r[f"n{i}"] for i in range(states)]
+    for r in kept.where("slot >= 0").collect():  # states + 2 rows
+        flat[r["slot"]] = [r[x] for x in columns]
     final, end = Model.of(np.concatenate([flat[: states + 1].ravel(), np.zeros(states)]), states), flat[-1]
     pi, a, sizes = final.pi, final.a, np.array(steps) / LEVELS + end
 
     asked = blocks.select("block", F.posexplode("vocab").alias("i", "word")).join(counts, "word")
     pulled = scratch.cut(asked.groupBy("block").agg(F.collect_list(F.struct("i", "c", "shares")).alias("pulled")), "pulled")
+    scratch.drop(kept)
     # as many tasks as the blocks need, however many the corpus has
     tasks = max(1, -(-blocks.count() // BLOCKS_A_TASK))
     dealt = lambda df: df.repartition(tasks, "block")
