@@ -19,8 +19,8 @@ The patterns are the contract's, written so that Java's matcher is linear and do
 starting only where a leftmost match can start.  Running sums go over blocks of BLOCK elements, and text is cut from blocks of
 characters, so the work for a text with n matches grows as n and, for the blocks' sums, (n / BLOCK) ** 2.
 
-As n_t >= n_te, a pair with (n_te + PRIOR * p) / (n_te + PRIOR) below the threshold can't disclose; it leaves before n_t is
-counted, which is done for the other pairs' terms alone, over all documents.
+As n_t >= n_te, a pair with (n_te + PRIOR * p) / (n_te + PRIOR) below the threshold can't disclose; it leaves before it meets n_t,
+which is counted over all documents, first within each task, so what is shuffled grows with the vocabulary.
 
 Defined cases: null text counts as empty, without spans; repeated rows each count as a document and have their own
 result; ties (overlapping kinds) are all listed, and redacted together under the first's name; an empty table
@@ -180,8 +180,8 @@ def disclosing(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     own = scratch.cut(own.select("row", F.explode("terms").alias("term")), "own-terms")
     pairs = held.join(own, "row").groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"))
     pairs = scratch.cut(pairs.where(chance("n_te") >= LEAST_CHANCE), "pairs")
-    asked = scratch.cut(pairs.select("term").distinct(), "asked")
-    n_t = found.select(F.explode("terms").alias("term")).join(asked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join, so that tasks hand out a row for each term and not one for each place
+    n_t = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     told = pairs.join(n_t, "term").where((chance("n_t") >= LEAST_CHANCE) & (F.log2(chance("n_t") / share) >= GAIN))
     return scratch.cut(told.select("entity", "term", "n_e", "n_t", "n_te"), "disclosing"), held.select("row", "entity"), own
 

@@ -176,6 +176,27 @@ def test_disclosing_pairs_are_those_of_the_counts(spark):
     assert {tuple(r) for r in got.select("entity", "term", "n_e", "n_t", "n_te").collect()} == want and len(want) >= 20
 
 
+def test_terms_are_counted_before_they_are_shuffled(spark):
+    """Of 60,000 terms at their places, tasks hand out one for each that they have seen, though no join is broadcast."""
+    common = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    docs = [(i, ["e"] if i < 4 else [], [*common, "grubnik"] if i < 4 else common) for i in range(400)]
+    found = spark.createDataFrame(docs, "row long, entities array<string>, terms array<string>").repartition(4).cache()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("disclosing", "")
+    try:
+        got = private.disclosing(found, Scratch(spark, "t"))[0].collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in got] == [("e", "grubnik", 4, 4, 4)]
+    jsc, tracker = spark.sparkContext._jsc.sc(), spark.sparkContext.statusTracker()
+    jsc.listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in tracker.getJobIdsForGroup("disclosing") for s in tracker.getJobInfo(j).stageIds}
+    written = sum(jsc.statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 0 < written < 10_000
+
+
 def test_disclosing_terms_are_generalised_and_plain_documents_left_alone(spark):
     told = [(i, f"common words here Grubnik writes to box{i % 2}@mail.org with common words", "x") for i in range(8)]
     plain = [(100 + i, f"common words here and there number writes with {i}", "x") for i in range(40)]
